@@ -1,0 +1,117 @@
+"""The whole job: read, score, join, keep; then measure; then review and hand over."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftline.config import BATCH_SIZE, COPIES, DEFAULT_RUBRIC, DEFAULT_RULES, ID, Rubric, RuleBook
+from siftline.operators.enrich import COPY_NO, enrich_compact, expand_copies
+from siftline.operators.metrics import (
+    class_counts,
+    class_distribution,
+    kpis,
+    score_histogram,
+)
+from siftline.operators.model import ScorerFactory, score_with_model
+from siftline.operators.ordering import TIE, ORDINAL, ensure_id
+from siftline.operators.review import (
+    apply_review_edits,
+    number_for_review,
+    repair_for_review,
+    spread_copies,
+    validate_edits,
+)
+from siftline.operators.rules import reject_score_columns, score_inline, score_leads
+from siftline.sources.handover import arrange, export_handover
+from siftline.sources.leads import require_rows
+from siftline.sources.session import estimated_bytes, size_shuffles
+from siftline.sources.store import materialize
+
+
+@dataclass(frozen=True)
+class Result:
+    """``stored``: the written table, one row per lead and different score row, with the number
+    of copies. ``report``: one row per model batch, or None when only rules were used."""
+
+    stored: DataFrame
+    report: DataFrame | None = None
+
+    @property
+    def final(self) -> DataFrame:
+        """Every row of the left join."""
+        return expand_copies(self.stored)
+
+
+def run_pipeline(
+    leads: DataFrame | None,
+    make_scorer: ScorerFactory | None = None,
+    order_by: list[str] | None = None,
+    unique_order: bool = False,
+    inline: bool | None = None,
+    rules: RuleBook = DEFAULT_RULES,
+    rubric: Rubric = DEFAULT_RUBRIC,
+    batch_size: int = BATCH_SIZE,
+    concurrency: int | None = None,
+    path: str | None = None,
+) -> Result:
+    """Score a lead table and keep the result.
+
+    ``inline=True`` says that ids are unique: rule scores then need no join. Numbered ids always
+    are, so a table without ``id`` takes that way by itself.
+    """
+    leads = reject_score_columns(require_rows(leads))
+    size_shuffles(leads.sparkSession, estimated_bytes(leads))
+    numbered = ID not in leads.columns
+    leads = ensure_id(leads, order_by, unique_order)
+    if inline is None:
+        inline = numbered
+
+    if make_scorer is None and inline:
+        stored = score_inline(leads, rules).withColumn(COPIES, F.lit(1).cast("bigint"))
+        return Result(materialize(stored, path, name="final"))
+    if make_scorer is None:
+        stored = enrich_compact(leads, score_leads(leads, rules))
+        return Result(materialize(stored, path, name="final"))
+    batched = leads.withColumn(ORDINAL, F.col(ID).cast("bigint")) if numbered else leads
+    scored, report = score_with_model(
+        batched, make_scorer, order_by, rules, rubric, batch_size, unique_order,
+        concurrency=concurrency,
+    )
+    stored = enrich_compact(leads, scored)
+    return Result(materialize(stored, path, name="final"), report)
+
+
+@dataclass(frozen=True)
+class Dashboard:
+    kpis: DataFrame
+    class_counts: DataFrame
+    class_distribution: DataFrame
+    score_histogram: DataFrame
+
+
+def dashboard(stored: DataFrame) -> Dashboard:
+    """All dashboard tables of the kept result. Each reads only the columns it counts."""
+    row = kpis(stored)
+    return Dashboard(row, class_counts(stored), class_distribution(row), score_histogram(stored))
+
+
+def review_and_export(
+    stored: DataFrame, path: str, edits: DataFrame | None = None, format: str = "parquet"
+) -> DataFrame | None:
+    """Order for review, repair, apply edits, write. Returns the rejected edits, if any were given.
+
+    Without edits no row numbers are needed, and the table goes from the kept result to the
+    hand-over files in one range shuffle.
+    """
+    if edits is None:
+        full, order = spread_copies(stored)
+        review = repair_for_review(arrange(full, order)).drop(TIE, COPY_NO)
+        export_handover(review, path, format, arranged=True)
+        return None
+    review = repair_for_review(number_for_review(stored))
+    valid, rejected = validate_edits(edits)
+    export_handover(apply_review_edits(review, valid), path, format)
+    return rejected
