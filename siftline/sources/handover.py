@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.config import NAME, NEED, PHONE, REASON
-from siftline.sources.leads import CSV_OPTIONS
+from siftline.sources.leads import CSV_OPTIONS, CSV_WRITE_OPTIONS
 
 # Place in review order; not handed over.
 ROW_ID = "row_id"
@@ -31,7 +31,7 @@ def export_handover(
         table = arrange(table, [F.col(ROW_ID).asc_nulls_last()])
     writer = table.drop(ROW_ID).write.mode("errorifexists")
     if format == "csv":
-        writer = writer.options(header=True, escape='"', quote='"')
+        writer = writer.options(**CSV_WRITE_OPTIONS)
     writer.format(format).save(path)
     return path
 

@@ -8,8 +8,16 @@ from pyspark.sql.types import StructType
 
 from siftline.config import LEAD_COLUMNS
 
-# Free text holds line breaks and quotes, which the CSV defaults break on.
+# Free text holds line breaks and quotes, which the CSV defaults break on; the writer would also
+# trim blanks and line breaks off the ends of cells.
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+CSV_WRITE_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "quote": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 class EmptyLeads(ValueError):

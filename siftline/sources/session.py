@@ -48,6 +48,6 @@ def estimated_bytes(table: DataFrame) -> int:
     """
     leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [
-        int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
+        int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())
     ]
     return sum(size for size in sizes if size < UNKNOWN_SIZE)
