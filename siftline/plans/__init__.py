@@ -1,3 +1,3 @@
-from siftline.plans.pipeline import dashboard, review_and_export, run_pipeline
+from siftline.plans.triage import dashboard, review_and_export, run_pipeline
 
 __all__ = ["dashboard", "review_and_export", "run_pipeline"]
