@@ -13,16 +13,21 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INT_LIMIT = 2147483647
 
 
-def parse_number(col: Column) -> Column:
-    """Any column as double; text that is no number, NaN and infinities become NULL."""
-    text = col.cast("string")
-    number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+def parse_number(col: Column, numeric: bool = False) -> Column:
+    """A column as double; text that is no number, NaN and infinities become NULL.
+
+    ``numeric`` says that the column holds numbers already, which saves matching text.
+    """
+    if not numeric:
+        col = F.regexp_substr(col.cast("string"), F.lit(NUMBER_PATTERN))
+    number = col.try_cast("double")
+    # NaN is above every number, infinity included.
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
-def coerce_score(col: Column, default: int = 10) -> Column:
+def coerce_score(col: Column, default: int = 10, numeric: bool = False) -> Column:
     """Score as int, cut toward zero; missing, unreadable or out of int range gives ``default``."""
-    number = parse_number(col)
+    number = parse_number(col, numeric)
     return F.when(F.abs(number) <= INT_LIMIT, number).otherwise(F.lit(float(default))).cast("int")
 
 

@@ -12,8 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.config import CLASS, COPIES, ID, REASON, SCORE, SCORE_COLUMNS
-from siftline.operators.rules import reject_score_columns
+from siftline.config import (
+    CLASS,
+    COPIES,
+    DEFAULT_RULES,
+    ID,
+    REASON,
+    SCORE,
+    SCORE_COLUMNS,
+    RuleBook,
+)
+from siftline.operators.rules import reject_score_columns, score_inline, score_leads
+from siftline.sources.store import materialize
 
 # Copies are made in blocks, so that a row wanted very often never needs one huge array.
 COPY_BLOCK = 65_536
@@ -41,6 +51,39 @@ def enrich_compact(leads: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.drop(_SCORED_ID).withColumn(COPIES, F.coalesce(F.col(COPIES), F.lit(1)))
 
 
+def score_and_enrich(leads: DataFrame, rules: RuleBook = DEFAULT_RULES) -> DataFrame:
+    """``enrich_compact(leads, score_leads(leads))`` without shuffling the lead table where ids
+    seldom repeat.
+
+    A lead whose id stands in no other row is joined to its own score only, so that score is put
+    beside it in the scan. Repeated ids are found from the id column alone, and only their rows
+    are scored for the join. Both small tables are written, so that the joins are planned with
+    measured sizes: broadcast where small, shuffled (with skew handling) where not.
+    """
+    own = score_inline(leads, rules)
+    sizes = leads.groupBy(F.col(ID).alias(_SCORED_ID)).agg(F.count("*").alias("_n"))
+    repeated = materialize(sizes.where(F.col("_n") > 1).select(_SCORED_ID), name="repeated")
+    if repeated.isEmpty():
+        return own.withColumn(COPIES, F.lit(1).cast("bigint"))
+    rows = leads.join(repeated, leads[ID].eqNullSafe(repeated[_SCORED_ID]), "left_semi")
+    theirs = distinct_scores(score_leads(rows, rules)).select(
+        F.col(ID).alias(_SCORED_ID),
+        F.struct(*SCORE_COLUMNS, COPIES).alias("_theirs"),
+    )
+    theirs = materialize(theirs, name="scores")
+    joined = own.join(theirs, own[ID].eqNullSafe(theirs[_SCORED_ID]), "left").drop(_SCORED_ID)
+    found = F.col("_theirs").isNotNull()
+    return joined.withColumns(
+        {
+            **{
+                c: F.when(found, F.col(f"_theirs.{c}")).otherwise(F.col(c))
+                for c in SCORE_COLUMNS
+            },
+            COPIES: F.coalesce(F.col(f"_theirs.{COPIES}"), F.lit(1)),
+        }
+    ).drop("_theirs")
+
+
 def expand_copies(compact: DataFrame, numbered: bool = False) -> DataFrame:
     """Every row as often as its ``_copies`` says; with ``numbered``, ``_copy`` counts them."""
     block = F.explode(

@@ -19,6 +19,11 @@ def _rows(final: DataFrame, where: Column | None = None) -> Column:
     return F.coalesce(F.sum(counted), F.lit(0)).cast("bigint")
 
 
+def tally(final: DataFrame) -> DataFrame:
+    """Rows per score and class, in ``_copies``: all that the dashboard needs, in one pass."""
+    return final.groupBy(SCORE, CLASS).agg(_rows(final).alias(COPIES))
+
+
 def kpis(final: DataFrame) -> DataFrame:
     """One row: total, hot, warm, junk, potential_rate. Rows of no known class count in the
     total only."""

@@ -66,10 +66,19 @@ def render_prompt(payload: Column, rubric: Rubric = DEFAULT_RUBRIC) -> Column:
     return F.concat(F.lit(rubric.head), payload, F.lit(rubric.tail))
 
 
-def build_requests(batches: DataFrame, rubric: Rubric = DEFAULT_RUBRIC) -> DataFrame:
-    """One row per batch: batch_id, n_leads, payload, prompt. A batch is a bounded group."""
+def build_requests(
+    batches: DataFrame, rubric: Rubric = DEFAULT_RUBRIC, partitions: int | None = None
+) -> DataFrame:
+    """One row per batch: batch_id, n_leads, payload, prompt. A batch is a bounded group.
+
+    The rows move once, whole: a list has nothing to combine before the shuffle. The number of
+    partitions is fixed, because it is the number of model calls at a time; adaptive execution
+    would merge them by size, and a list of short prompts would be asked one after the other.
+    """
+    if not partitions:
+        partitions = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct(POSITION, ID, NEED)
-    grouped = batches.groupBy(BATCH_ID).agg(
+    grouped = batches.repartition(partitions, BATCH_ID).groupBy(BATCH_ID).agg(
         F.count("*").alias("n_leads"),
         F.sort_array(F.collect_list(place)).alias("_leads"),
     )
@@ -117,8 +126,8 @@ def call_scorer(
     """Ask the model once per request and write the answers: batch_id, n_leads, payload,
     response, error.
 
-    Only the prompt goes through Python. ``concurrency`` is the number of calls at a time (one
-    per task); without it the partitions of the requests decide. The answers are written before
+    Only the prompt goes through Python. Every partition of the requests is one line of calls;
+    ``concurrency`` sets their number anew, at the price of a shuffle. The answers are written before
     anyone reads them, so that no later job asks again.
     """
     if concurrency:
@@ -179,7 +188,8 @@ def score_with_model(
     path: str | None = None,
     concurrency: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Score rows from the model and a report per batch.
+    """Score rows from the model and a report per batch. ``concurrency`` is the number of model
+    calls at a time.
 
     Rules score a failed batch. They score all leads when there is no scorer, when it cannot be
     set up, or when no response names any lead.
@@ -194,8 +204,9 @@ def score_with_model(
     # Only what the model sees is numbered and shuffled, not the whole lead table.
     order = [ORDINAL] if ORDINAL in leads.columns else order_by or []
     narrow = prune_for_model(leads, *[c for c in order if c not in (ID, NEED)])
-    requests = build_requests(assign_batches(narrow, order_by, batch_size, unique), rubric)
-    parsed = parse_responses(call_scorer(requests, make_scorer, path, concurrency))
+    batches = assign_batches(narrow, order_by, batch_size, unique)
+    responses = call_scorer(build_requests(batches, rubric, concurrency), make_scorer, path)
+    parsed = parse_responses(responses)
     scored = union_results(flatten_scores(parsed), batch_fallback(parsed, rules))
     report = batch_report(parsed)
     if scored.where(F.col(ID).isNotNull()).isEmpty():

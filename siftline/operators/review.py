@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from siftline.config import CLASS, CLASSES, COPIES, ID, NAME, NEED, PHONE, REASON, SCORE
 from siftline.functions.repair import (
@@ -16,6 +17,7 @@ from siftline.functions.repair import (
 from siftline.operators.enrich import COPY_NO, expand_copies
 from siftline.operators.ordering import TIE, number_rows, with_tie_break
 from siftline.sources.handover import ROW_ID
+from siftline.sources.store import materialize
 
 OP = "op"
 EDIT_SEQ = "edit_seq"
@@ -25,9 +27,14 @@ INSERT = "insert"
 LOCKED = (ID, NEED)
 
 
+def score_is_number(table: DataFrame) -> bool:
+    return isinstance(table.schema[SCORE].dataType, NumericType)
+
+
 def score_order(final: DataFrame) -> list[Column]:
     """Highest score first, missing last, then by id. Scores count as they were before repair."""
-    order = [parse_number(F.col(SCORE)).desc_nulls_last()]
+    score = parse_number(F.col(SCORE), score_is_number(final))
+    order = [score.desc_nulls_last()]
     return [*order, F.col(ID).asc_nulls_last()] if ID in final.columns else order
 
 
@@ -62,7 +69,7 @@ def repair_for_review(final: DataFrame) -> DataFrame:
         NAME: fill_text,
         PHONE: fill_text,
         NEED: fill_text,
-        SCORE: coerce_score,
+        SCORE: lambda c: coerce_score(c, numeric=score_is_number(final)),
         CLASS: coerce_class,
         REASON: fill_reason,
     }
@@ -109,13 +116,16 @@ def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
     """The review table after the edits; inserted rows have no ``row_id``.
 
     A cell of an update that is NULL leaves the value as it is. ``id`` and the description are
-    locked: updates do not touch them. One left join brings updates and deletes; Spark sends the
-    edits to all executors only where their measured size allows it.
+    locked: updates do not touch them.
+
+    One left join brings updates and deletes. Their table is written first, so that the join is
+    planned with its measured size: few edits are broadcast and the review table stays where it
+    is; many are shuffled like any other join.
     """
     editable = [
         c for c in review.columns if c not in (*LOCKED, ROW_ID) and c in edits.columns
     ]
-    changes = one_edit_per_row(edits, editable)
+    changes = materialize(one_edit_per_row(edits, editable), name="edits")
     joined = review.join(changes, ROW_ID, "left").where(~F.coalesce("_deleted", F.lit(False)))
     types = dict(review.dtypes)
     kept = joined.select(

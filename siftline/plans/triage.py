@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.config import BATCH_SIZE, COPIES, DEFAULT_RUBRIC, DEFAULT_RULES, ID, Rubric, RuleBook
-from siftline.operators.enrich import COPY_NO, enrich_compact, expand_copies
+from siftline.operators.enrich import COPY_NO, enrich_compact, expand_copies, score_and_enrich
 from siftline.operators.metrics import (
     class_counts,
     class_distribution,
     kpis,
     score_histogram,
+    tally,
 )
 from siftline.operators.model import ScorerFactory, score_with_model
 from siftline.operators.ordering import TIE, ORDINAL, ensure_id
@@ -24,7 +25,7 @@ from siftline.operators.review import (
     spread_copies,
     validate_edits,
 )
-from siftline.operators.rules import reject_score_columns, score_inline, score_leads
+from siftline.operators.rules import reject_score_columns, score_inline
 from siftline.sources.handover import arrange, export_handover
 from siftline.sources.leads import require_rows
 from siftline.sources.session import estimated_bytes, size_shuffles
@@ -59,8 +60,9 @@ def run_pipeline(
 ) -> Result:
     """Score a lead table and keep the result.
 
-    ``inline=True`` says that ids are unique: rule scores then need no join. Numbered ids always
-    are, so a table without ``id`` takes that way by itself.
+    ``inline=True`` says that ids are unique: rule scores then need no join, nor the look at the
+    id column that finds repeated ids. Numbered ids always are, so a table without ``id`` takes
+    that way by itself.
     """
     leads = reject_score_columns(require_rows(leads))
     size_shuffles(leads.sparkSession, estimated_bytes(leads))
@@ -73,7 +75,7 @@ def run_pipeline(
         stored = score_inline(leads, rules).withColumn(COPIES, F.lit(1).cast("bigint"))
         return Result(materialize(stored, path, name="final"))
     if make_scorer is None:
-        stored = enrich_compact(leads, score_leads(leads, rules))
+        stored = score_and_enrich(leads, rules)
         return Result(materialize(stored, path, name="final"))
     batched = leads.withColumn(ORDINAL, F.col(ID).cast("bigint")) if numbered else leads
     scored, report = score_with_model(
@@ -93,9 +95,10 @@ class Dashboard:
 
 
 def dashboard(stored: DataFrame) -> Dashboard:
-    """All dashboard tables of the kept result. Each reads only the columns it counts."""
-    row = kpis(stored)
-    return Dashboard(row, class_counts(stored), class_distribution(row), score_histogram(stored))
+    """All dashboard tables of the kept result, from one pass over three of its columns."""
+    counts = materialize(tally(stored), name="tally")
+    row = kpis(counts)
+    return Dashboard(row, class_counts(counts), class_distribution(row), score_histogram(counts))
 
 
 def review_and_export(

@@ -14,7 +14,13 @@ from siftline.config import (
 )
 from siftline.functions import first_keyword
 from siftline.functions.text import CHAIN_LIMIT
-from siftline.operators.enrich import enrich, enrich_compact, expand_copies, match_counts
+from siftline.operators.enrich import (
+    enrich,
+    enrich_compact,
+    expand_copies,
+    match_counts,
+    score_and_enrich,
+)
 from siftline.operators.metrics import (
     class_counts,
     class_distribution,
@@ -205,3 +211,44 @@ def test_works_on_a_stream(spark, leads, tmp_path):
     )
     query.awaitTermination(120)
     assert rows(spark.table("scored_stream")) == srt(SCORED)
+
+
+def test_score_and_enrich_equals_join(spark, leads):
+    """Repeated ids, a missing id, and one id in a third of all rows."""
+    texts = ["biệt thự", "thuê bao", "nhà", "quận 1, bảo hiểm", None]
+    n = 300
+    hot = spark.createDataFrame(
+        [("hot" if i % 3 == 0 else None if i % 50 == 1 else str(i // 4), texts[i % 5], i) for i in range(n)],
+        "id string, nhu_cau_mo_ta string, n int",
+    )
+    unique = hot.withColumn("id", F.col("n").cast("string"))
+    for table in (leads, hot, unique):
+        want = enrich_compact(table, score_leads(table))
+        got = score_and_enrich(table)
+        assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+        assert rows(got) == rows(want)
+        assert rows(expand_copies(got)) == rows(table.join(
+            score_leads(table).withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid")), "left"
+        ).drop("sid"))
+
+
+def test_plan_of_seldom_repeated_ids_moves_no_leads(spark, tmp_path):
+    path = str(tmp_path / "leads")
+    spark.range(5000).select(
+        F.when(F.col("id") < 4000, F.col("id")).otherwise(F.col("id") % 2).cast("string").alias("id"),
+        F.lit("penthouse").alias("nhu_cau_mo_ta"),
+    ).write.parquet(path)
+    table = spark.read.parquet(path)
+    got = score_and_enrich(table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert kpis(got).first().total == 3998 + 2 * 501 * 501
+
+
+def test_scoring_plan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("nhu_cau_mo_ta"), "lang"
+    )
+    plan = score_leads(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and plan.count("lower(") == 1
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
