@@ -13,9 +13,16 @@ FENCE = "```"
 JSON_FENCE = FENCE + "json"
 
 
+# All characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def _strip(text: Column) -> Column:
     """Drop white space, line breaks included, at both ends. ``trim`` only drops blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_fence(response: Column) -> Column:
@@ -40,6 +47,8 @@ def parse_scores(text: Column) -> Column:
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     lists = F.try_variant_get(wrapped, "$", "array<array<variant>>")
     is_list = (F.size(lists) == 1) & F.get(lists, F.lit(0)).isNotNull()
-    records = F.from_json(text, RECORDS_SCHEMA)
-    all_objects = F.forall(records, lambda r: r.isNotNull())
-    return F.when(is_list & all_objects, records)
+    # In an array of one, the parsed records are tested and taken without parsing them twice.
+    records = F.filter(
+        F.array(F.from_json(text, RECORDS_SCHEMA)), lambda r: F.forall(r, lambda x: x.isNotNull())
+    )
+    return F.when(is_list, F.get(records, F.lit(0)))

@@ -1,7 +1,7 @@
 """Scoring leads in batches with a model the caller supplies.
 
 requests  -> one row per batch of consecutive leads, with the prompt
-responses -> one row per batch, written before anything reads it
+responses -> one row per batch, parsed and written before anything reads it
 scores    -> projections of the written responses; failed batches are scored by the rules
 
 After the model has answered nothing is shuffled or joined: a response row carries the leads of
@@ -117,6 +117,14 @@ def _ask(make_scorer: ScorerFactory):
     return F.pandas_udf(ask, "response string, error string").asNondeterministic()
 
 
+def ask_model(requests: DataFrame, make_scorer: ScorerFactory) -> DataFrame:
+    """Requests with the model's response or the error. Only the prompt goes through Python.
+    Every action on this frame asks again, so it is written before anyone reads it."""
+    return requests.withColumn("_answer", _ask(make_scorer)("prompt")).select(
+        BATCH_ID, "n_leads", "payload", "_answer.response", "_answer.error"
+    )
+
+
 def call_scorer(
     requests: DataFrame,
     make_scorer: ScorerFactory,
@@ -126,35 +134,39 @@ def call_scorer(
     """Ask the model once per request and write the answers: batch_id, n_leads, payload,
     response, error.
 
-    Only the prompt goes through Python. Every partition of the requests is one line of calls;
-    ``concurrency`` sets their number anew, at the price of a shuffle. The answers are written before
-    anyone reads them, so that no later job asks again.
+    Every partition of the requests is one line of calls; ``concurrency`` sets their number
+    anew, at the price of a shuffle.
     """
     if concurrency:
         requests = requests.repartition(concurrency, BATCH_ID)
-    answered = requests.withColumn("_answer", _ask(make_scorer)("prompt")).select(
-        BATCH_ID, "n_leads", "payload", "_answer.response", "_answer.error"
-    )
-    return materialize(answered, path, name="responses")
+    return materialize(ask_model(requests, make_scorer), path, name="responses")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Responses with their score ``records``, NULL for a failed batch."""
-    return responses.withColumn("records", parse_scores(strip_fence(F.col("response"))))
+    text = responses.withColumn("_text", strip_fence(F.col("response")))
+    return text.withColumn("records", parse_scores(F.col("_text"))).drop("_text")
 
 
 def flatten_scores(parsed: DataFrame) -> DataFrame:
     """One score row per record; failed batches give none. Scores and classes are taken as
-    they come."""
-    return parsed.select(F.inline("records")).select(
-        ID, parse_number(F.col(SCORE)).alias(SCORE), CLASS, REASON
+    they come.
+
+    For a plain explode Catalyst adds a filter on the size of the array, and so would parse every
+    response a second time; the outer form has none.
+    """
+    records = parsed.select(F.posexplode_outer("records").alias("_pos", "_record"))
+    return (
+        records.where(F.col("_pos").isNotNull())
+        .select("_record.*")
+        .select(ID, parse_number(F.col(SCORE)).alias(SCORE), CLASS, REASON)
     )
 
 
 def batch_fallback(parsed: DataFrame, rules: RuleBook = DEFAULT_RULES) -> DataFrame:
     """Rule scores for every lead of the failed batches."""
     failed = parsed.where(F.col("records").isNull())
-    leads = failed.select(F.inline(F.from_json("payload", LEADS_SCHEMA)))
+    leads = failed.select(F.inline_outer(F.from_json("payload", LEADS_SCHEMA)))
     return score_leads(leads, rules)
 
 
@@ -205,8 +217,10 @@ def score_with_model(
     order = [ORDINAL] if ORDINAL in leads.columns else order_by or []
     narrow = prune_for_model(leads, *[c for c in order if c not in (ID, NEED)])
     batches = assign_batches(narrow, order_by, batch_size, unique)
-    responses = call_scorer(build_requests(batches, rubric, concurrency), make_scorer, path)
-    parsed = parse_responses(responses)
+    requests = build_requests(batches, rubric, concurrency)
+    # Answers and what they parse to are written together: each is asked and parsed once.
+    answers = parse_responses(ask_model(requests, make_scorer))
+    parsed = materialize(answers, path, name="responses")
     scored = union_results(flatten_scores(parsed), batch_fallback(parsed, rules))
     report = batch_report(parsed)
     if scored.where(F.col(ID).isNotNull()).isEmpty():

@@ -15,6 +15,7 @@ from siftline.operators.model import (
     assign_batches,
     build_requests,
     call_scorer,
+    flatten_scores,
     parse_responses,
     score_with_model,
 )
@@ -207,3 +208,16 @@ def test_null_ids_reach_the_fallback(spark):
     leads = spark.createDataFrame([(None, "biệt thự", 1), (None, "thuê bao", 2)], "id string, nhu_cau_mo_ta string, n int")
     result = run_pipeline(leads, answering(lambda batch: "no"), ["n"], True, rubric=RUBRIC)
     assert result.final.count() == 4
+
+
+def test_responses_are_parsed_once(spark):
+    df = spark.range(3).select(F.col("id").alias("batch_id"), F.lit("[]").alias("response"))
+    df = parse_responses(df.withColumn("response", F.concat("response", F.col("batch_id").cast("string"))))
+    plan = flatten_scores(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_strip_equals_python(spark):
+    texts = [w + "x" + w for w in (" ", " \n", "\x1c\t", "　 ", "​", "")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(strip_fence(F.col("t"))).collect()] == [t.strip() for t in texts]
