@@ -70,7 +70,24 @@ BATCH_SIZE = 20
 # Name of the column that says how often a joined row occurs (see operators/enrich.py).
 COPIES = "_copies"
 
-SCORED_SCHEMA = f"{ID} string, {SCORE} double, {CLASS} string, {REASON} string"
+# Columns the engine adds on the way. A lead table may not have them.
+RESERVED = (
+    COPIES,
+    "_block",
+    "_copy",
+    "_file",
+    "_file_row",
+    "_in_part",
+    "_junk",
+    "_part",
+    "_scored_id",
+    "_text",
+    "_theirs",
+    "_tie",
+    "_vip",
+    "ordinal",
+    "row_id",
+)
 
 
 @dataclass(frozen=True)

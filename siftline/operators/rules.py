@@ -27,8 +27,9 @@ class ColumnClash(ValueError):
     """The lead table already has a column that scoring would add."""
 
 
-def reject_score_columns(leads: DataFrame) -> DataFrame:
-    clash = [c for c in SCORE_COLUMNS if c in leads.columns]
+def reject_score_columns(leads: DataFrame, reserved: tuple[str, ...] = ()) -> DataFrame:
+    taken = (*SCORE_COLUMNS, *reserved)
+    clash = [c for c in leads.columns if c.lower() in taken]
     if clash:
         raise ColumnClash(f"lead table already has {', '.join(clash)}")
     return leads

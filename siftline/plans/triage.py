@@ -7,7 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.config import BATCH_SIZE, COPIES, DEFAULT_RUBRIC, DEFAULT_RULES, ID, Rubric, RuleBook
+from siftline.config import (
+    BATCH_SIZE,
+    COPIES,
+    DEFAULT_RUBRIC,
+    DEFAULT_RULES,
+    ID,
+    RESERVED,
+    Rubric,
+    RuleBook,
+)
 from siftline.operators.enrich import COPY_NO, enrich_compact, expand_copies, score_and_enrich
 from siftline.operators.metrics import (
     class_counts,
@@ -64,7 +73,7 @@ def run_pipeline(
     id column that finds repeated ids. Numbered ids always are, so a table without ``id`` takes
     that way by itself.
     """
-    leads = reject_score_columns(require_rows(leads))
+    leads = reject_score_columns(require_rows(leads), RESERVED)
     size_shuffles(leads.sparkSession, estimated_bytes(leads))
     numbered = ID not in leads.columns
     leads = ensure_id(leads, order_by, unique_order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.config import NAME, NEED, PHONE, REASON
+from siftline.config import ID, LEAD_COLUMNS, NAME, NEED, PHONE, REASON, SCORE_COLUMNS
 from siftline.sources.leads import CSV_OPTIONS, CSV_WRITE_OPTIONS
 
 # Place in review order; not handed over.
@@ -21,14 +21,18 @@ def arrange(table: DataFrame, order_by: list[Column]) -> DataFrame:
 def export_handover(
     table: DataFrame, path: str, format: str = "parquet", arranged: bool = False
 ) -> str:
-    """Write ``table`` in row-number order, inserted rows (which have none) last; return ``path``.
+    """Write ``table`` in row-number order, inserted rows (which have none) last, by id; return
+    ``path``.
 
     ``arranged`` tables are written as they stand. There is one file per partition, each with the
     header: file names follow the order and each file is sorted, so reading the files by name
     gives the whole order.
     """
     if not arranged:
-        table = arrange(table, [F.col(ROW_ID).asc_nulls_last()])
+        known = [c for c in (*LEAD_COLUMNS, *SCORE_COLUMNS) if c in table.columns]
+        order = [F.col(ROW_ID).asc_nulls_last(), *[F.col(c) for c in known if c == ID]]
+        # Inserted rows share the missing number; their content spreads them.
+        table = arrange(table, [*order, F.xxhash64(*known)] if known else order)
     writer = table.drop(ROW_ID).write.mode("errorifexists")
     if format == "csv":
         writer = writer.options(**CSV_WRITE_OPTIONS)
