@@ -81,6 +81,7 @@ RESERVED = (
     "_junk",
     "_part",
     "_scored_id",
+    "_step",
     "_text",
     "_theirs",
     "_tie",

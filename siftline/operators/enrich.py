@@ -26,9 +26,11 @@ from siftline.operators.rules import reject_score_columns, score_inline, score_l
 from siftline.sources.store import materialize
 
 # Copies are made in blocks, so that a row wanted very often never needs one huge array.
-COPY_BLOCK = 65_536
+COPY_BLOCK = 64
+BLOCK_STEP = 65_536
 
 COPY_NO = "_copy"
+_BLOCK = "_block"
 
 _SCORED_ID = "_scored_id"
 
@@ -84,18 +86,38 @@ def score_and_enrich(leads: DataFrame, rules: RuleBook = DEFAULT_RULES) -> DataF
     ).drop("_theirs")
 
 
-def expand_copies(compact: DataFrame, numbered: bool = False) -> DataFrame:
-    """Every row as often as its ``_copies`` says; with ``numbered``, ``_copy`` counts them."""
-    block = F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.expr(f"({COPIES} - 1) div {COPY_BLOCK}"))
-    )
-    first = F.col("_block") * COPY_BLOCK
+def expand_copies(compact: DataFrame, numbered: bool = False, spread: bool = False) -> DataFrame:
+    """Every row as often as its ``_copies`` says; with ``numbered``, ``_copy`` counts them from 0.
+
+    ``spread`` is for a written table (it is read twice): rows with many copies are dealt out to
+    all tasks in blocks before they are multiplied, so that the rows of a hot id, which lie
+    together, do not all multiply in one task. Only such rows are shuffled.
+    """
+    if spread:
+        tasks = int(compact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        key = [ID] if ID in compact.columns else []
+        few = compact.where(F.col(COPIES) <= COPY_BLOCK).withColumn(_BLOCK, F.lit(0).cast("bigint"))
+        many = _blocks(compact.where(F.col(COPIES) > COPY_BLOCK)).repartition(tasks, _BLOCK, *key)
+        blocks = few.unionByName(many)
+    else:
+        blocks = _blocks(compact)
+    first = F.col(_BLOCK) * COPY_BLOCK
     last = F.least(first + COPY_BLOCK, F.col(COPIES)) - 1
-    rows = compact.withColumn("_block", block).withColumn(COPY_NO, F.explode(F.sequence(first, last)))
-    rows = rows.drop("_block", COPIES)
+    rows = blocks.withColumn(COPY_NO, F.explode(F.sequence(first, last))).drop(_BLOCK, COPIES)
     return rows if numbered else rows.drop(COPY_NO)
 
 
+def _blocks(compact: DataFrame) -> DataFrame:
+    """One row per block of copies, in two steps that keep every array short."""
+    step = F.sequence(
+        F.lit(0).cast("bigint"), F.expr(f"({COPIES} - 1) div {COPY_BLOCK * BLOCK_STEP}")
+    )
+    first = F.col("_step") * BLOCK_STEP
+    last = F.least(first + BLOCK_STEP - 1, F.expr(f"({COPIES} - 1) div {COPY_BLOCK}"))
+    stepped = compact.withColumn("_step", F.explode(step))
+    return stepped.withColumn(_BLOCK, F.explode(F.sequence(first, last))).drop("_step")
+
+
 def enrich(leads: DataFrame, scored: DataFrame) -> DataFrame:
     """Left join on ``id`` with every pair as a row of its own."""
     return expand_copies(enrich_compact(leads, scored))

@@ -52,7 +52,7 @@ def spread_copies(final: DataFrame) -> tuple[DataFrame, list[Column]]:
     order = [*score_order(final), F.col(TIE).asc()]
     if COPIES not in placed.columns:
         return placed, order
-    return expand_copies(placed, numbered=True), [*order, F.col(COPY_NO).asc()]
+    return expand_copies(placed, numbered=True, spread=True), [*order, F.col(COPY_NO).asc()]
 
 
 def number_for_review(final: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ class Result:
     @property
     def final(self) -> DataFrame:
         """Every row of the left join."""
-        return expand_copies(self.stored)
+        return expand_copies(self.stored, spread=True)
 
 
 def run_pipeline(

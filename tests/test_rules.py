@@ -111,10 +111,26 @@ def test_many_copies(spark):
     big = compact.limit(1).withColumn("_copies", F.lit(65_536 * 2 + 3).cast("bigint"))
     nos = expand_copies(big, numbered=True).agg(F.count("*"), F.min("_copy"), F.max("_copy")).first()
     assert tuple(nos) == (131_075, 0, 131_074)
+    for spread in (True, False):
+        sizes = [1, 63, 64, 65, 128, 129, 10_000, 64 * 65_536 + 1]
+        mixed = spark.createDataFrame([(str(n), n) for n in sizes], "id string, _copies bigint")
+        got = expand_copies(mixed, numbered=True, spread=spread).groupBy("id")
+        got = got.agg(F.count("*"), F.min("_copy"), F.max("_copy"), F.countDistinct("_copy"))
+        assert {tuple(r) for r in got.collect()} == {(str(n), n, 0, n - 1, n) for n in sizes}
     edge = compact.limit(1).withColumn("_copies", F.lit(65_536).cast("bigint"))
     assert expand_copies(edge).count() == 65_536
 
 
+def test_hot_rows_multiply_in_many_tasks(spark, tmp_path):
+    """All rows of the hot id lie in one file; their copies come from all tasks."""
+    hot = spark.range(500, numPartitions=1).select(F.lit("hot").alias("id"), F.lit(500).cast("bigint").alias("_copies"))
+    hot.write.parquet(str(tmp_path / "t"))
+    rows = expand_copies(spark.read.parquet(str(tmp_path / "t")), spread=True)
+    per_task = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 250_000
+    assert len(per_task) >= 4 and max(r["count"] for r in per_task) < 150_000
+
+
 def test_unscored_and_invented_ids(spark):
     leads = spark.createDataFrame([(i,) for i in "12345"], "id string")
     scored = spark.createDataFrame(
