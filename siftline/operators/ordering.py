@@ -38,6 +38,14 @@ def with_file_position(table: DataFrame) -> DataFrame:
         return materialize(table, name="positions").select("*", *position)
 
 
+def is_plain_scan(table: DataFrame) -> bool:
+    """Whether ``table`` is a file scan with nothing but projections on top."""
+    plan = table._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
 def with_tie_break(table: DataFrame) -> DataFrame:
     """``table`` with a number in ``_tie`` that tells equal rows apart and never changes."""
     placed = with_file_position(table)
@@ -48,8 +56,11 @@ def number_by_file(table: DataFrame, name: str = ORDINAL) -> DataFrame:
     """Number rows 1..n in the order they are stored: by file name, then by row in the file.
 
     No sort and no shuffle of the rows. Rows per file come from a scan without data columns; the
-    running total goes over one row per file.
+    running total goes over one row per file. Rows that were filtered, joined or multiplied after
+    the scan are written first: only whole files have rows 0..n-1.
     """
+    if not is_plain_scan(table):
+        table = materialize(table, name="positions")
     placed = with_file_position(table)
     sizes = placed.groupBy(_FILE).agg(F.count("*").alias("_n"))
     by_name = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)

@@ -83,3 +83,31 @@ def test_review_numbers_follow_score(spark):
     )
     got = {r.x: r.row_id for r in number_for_review(df).collect()}
     assert got == {4: 1, 5: 2, 3: 3, 2: 4, 1: 5, 6: 6}
+
+
+@pytest.mark.parametrize("change", ["filter", "join", "explode", "limit", "union", "csv", "table"])
+def test_stored_order_of_derived_tables(spark, change, tmp_path):
+    """Rows taken out or multiplied after the scan still get 1..n."""
+    path = str(tmp_path / "t")
+    spark.range(300).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
+    df = spark.read.parquet(path)
+    if change == "filter":
+        df = df.where("id % 2 = 0")
+    elif change == "join":
+        twice = spark.createDataFrame([(0,), (1,), (1,)], "k int")
+        df = df.join(F.broadcast(twice), F.col("id") % 3 == F.col("k")).drop("k")
+    elif change == "explode":
+        df = df.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("x")).drop("x")
+    elif change == "limit":
+        df = df.limit(37)
+    elif change == "union":
+        df = df.union(df)
+    elif change == "csv":
+        df.write.csv(str(tmp_path / "c"))
+        df = spark.read.schema("id bigint").csv(str(tmp_path / "c"))
+    elif change == "table":
+        df.write.saveAsTable("stored_order")
+        df = spark.table("stored_order")
+    n = df.count()
+    got = number_by_file(df, "n").agg(F.count("*"), F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    assert tuple(got) == (n, 1, n, n)
