@@ -25,30 +25,36 @@ TIE = "_tie"
 BROADCAST_FILES = 500_000
 
 
-def with_file_position(table: DataFrame) -> DataFrame:
+def with_file_position(table: DataFrame, whole_files: bool = True) -> DataFrame:
     """``table`` with the file and the row in the file that each row was read from.
 
-    Anything but a plain parquet scan is written first. Positions in written files stay the same
-    when a task is run again, which numbers made up while a job runs do not.
+    Anything but a parquet scan with projections (and filters, where not ``whole_files``) is
+    written first: joined or multiplied rows share positions. Positions in written files stay the
+    same when a task is run again, which numbers made up while a job runs do not.
     """
-    position = [F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_FILE_ROW)]
-    try:
-        return table.select("*", *position)
-    except AnalysisException:
-        return materialize(table, name="positions").select("*", *position)
-
-
-def is_plain_scan(table: DataFrame) -> bool:
-    """Whether ``table`` is a file scan with nothing but projections on top."""
+    position = [
+        F.col("_metadata.file_path").alias(_FILE),
+        F.col("_metadata.row_index").alias(_FILE_ROW),
+    ]
+    if is_scan(table, whole_files):
+        try:
+            return table.select("*", *position)
+        except AnalysisException:
+            pass  # files of another format have no row numbers
+    return materialize(table, name="positions").select("*", *position)
+
+
+def is_scan(table: DataFrame, whole_files: bool = True) -> bool:
+    """Whether ``table`` is a file scan with nothing but projections (and filters) on top."""
     plan = table._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() == "Project":
+    while plan.nodeName() == "Project" or (plan.nodeName() == "Filter" and not whole_files):
         plan = plan.children().apply(0)
     return plan.nodeName() == "LogicalRelation"
 
 
 def with_tie_break(table: DataFrame) -> DataFrame:
     """``table`` with a number in ``_tie`` that tells equal rows apart and never changes."""
-    placed = with_file_position(table)
+    placed = with_file_position(table, whole_files=False)
     return placed.withColumn(TIE, F.xxhash64(_FILE, _FILE_ROW)).drop(_FILE, _FILE_ROW)
 
 
@@ -59,8 +65,6 @@ def number_by_file(table: DataFrame, name: str = ORDINAL) -> DataFrame:
     running total goes over one row per file. Rows that were filtered, joined or multiplied after
     the scan are written first: only whole files have rows 0..n-1.
     """
-    if not is_plain_scan(table):
-        table = materialize(table, name="positions")
     placed = with_file_position(table)
     sizes = placed.groupBy(_FILE).agg(F.count("*").alias("_n"))
     by_name = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)

@@ -38,13 +38,6 @@ def score_order(final: DataFrame) -> list[Column]:
     return [*order, F.col(ID).asc_nulls_last()] if ID in final.columns else order
 
 
-def review_order(final: DataFrame) -> DataFrame:
-    """The joined table sorted for review."""
-    if COPIES in final.columns:
-        final = expand_copies(final)
-    return final.orderBy(*score_order(final))
-
-
 def spread_copies(final: DataFrame) -> tuple[DataFrame, list[Column]]:
     """The full table with an order that puts equal rows apart, so that a score or an id shared
     by very many rows can be cut anywhere, and the helper columns to drop: ``_tie``, ``_copy``."""
@@ -55,6 +48,12 @@ def spread_copies(final: DataFrame) -> tuple[DataFrame, list[Column]]:
     return expand_copies(placed, numbered=True, spread=True), [*order, F.col(COPY_NO).asc()]
 
 
+def review_order(final: DataFrame) -> DataFrame:
+    """The full table sorted for review."""
+    full, order = spread_copies(final)
+    return full.orderBy(*order).drop(TIE, COPY_NO)
+
+
 def number_for_review(final: DataFrame) -> DataFrame:
     """The full table with ``row_id`` 1..n in review order. Edits refer to rows by it, since an
     id may stand in several rows."""
