@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import sys
 import tempfile
 
@@ -221,3 +222,58 @@ def test_strip_equals_python(spark):
     texts = [w + "x" + w for w in (" ", " \n", "\x1c\t", "　 ", "​", "")]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(strip_fence(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def readable(text):
+    """Python's reading of a response: the ids of a list of objects, or None."""
+    for mark in (FENCE + "json", FENCE):
+        _, found, rest = text.partition(mark)
+        if found:
+            text = rest.partition(FENCE)[0]
+            break
+    seen = []
+
+    def pairs(items):
+        seen.append(len({k for k, _ in items}) == len(items))
+        return dict(items)
+
+    def constant(name):
+        raise ValueError(name)
+
+    try:
+        records = json.loads(text.strip(), object_pairs_hook=pairs, parse_constant=constant)
+    except ValueError:
+        return None
+    if not isinstance(records, list) or not all(isinstance(r, dict) for r in records) or not all(seen):
+        return None
+    return [r.get("id") for r in records]
+
+
+def test_random_responses_equal_python(spark):
+    rng = random.Random(11)
+    pieces = [
+        "[", "]", "{", "}", ",", ":", '"id"', '"score"', '"a"', "1", "-50", "2.5", "1e3", "01", "true", "null", "NaN", '"tỷ"',
+        " ", "\n", "```", "```json", "'id'", '"x\\"y"', '"x\ny"', "\\", "// c", '[{"id":"1"}]', '{"id":"2","score":10}', '{"id":"3"}',
+    ]
+    base = '[{"id":"1","score":50,"classification":"HOT","reason":"a [b] {c}"},{"id":"2","score":"10"}]'
+    texts = []
+    for _ in range(3000):
+        if rng.random() < 0.5:
+            texts.append("".join(rng.choice(pieces) for _ in range(rng.randint(1, 8))))
+        else:
+            at = rng.randint(0, len(base))
+            texts.append(base[:at] + rng.choice(pieces + [""]) + base[at + rng.randint(0, 2):])
+    texts.append(base)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "batch_id int, response string")
+    got = {r.batch_id: r.records for r in parse_responses(df).collect()}
+    valid = 0
+    for i, text in enumerate(texts):
+        want = readable(text)
+        if want is None:
+            assert got[i] is None, text
+            continue
+        valid += 1
+        assert got[i] is not None, text
+        plain = [x for x in want if x is None or isinstance(x, str)]
+        assert [r.id for r in got[i]][: len(plain)] == plain or len(plain) < len(want), text
+    assert valid > 100
