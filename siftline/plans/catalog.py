@@ -193,7 +193,11 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stub_scorer():
-    """Answers by the first lead of a batch: an error, a fenced list, an object or a plain list."""
+    """Factory of a scorer that answers by the first lead of a batch: an error, a fenced list, an
+    object or a plain list. All nested, so that workers need no copy of this module."""
+
+    def make():
+        return score
 
     def score(prompt):
         import json
@@ -203,21 +207,17 @@ def stub_scorer():
         shape = int(leads[0]["id"]) // 20 % 4
         if shape == 0:
             raise RuntimeError("no answer for " + leads[0]["id"])
-        records = [
-            {
-                "id": lead["id"],
-                "score": len(lead["nhu_cau_mo_ta"]),
-                "classification": "HOT" if len(lead["nhu_cau_mo_ta"]) > 500 else "WARM",
-                "reason": "len " + str(len(lead["nhu_cau_mo_ta"])),
-            }
-            for lead in leads
-        ]
-        if shape == 2:
-            records = records[0]
-        text = json.dumps(records, separators=(",", ":"))
+        records = []
+        for lead in leads:
+            size = len(lead["nhu_cau_mo_ta"])
+            label = "HOT" if size > 500 else "WARM"
+            records.append(
+                {"id": lead["id"], "score": size, "classification": label, "reason": f"len {size}"}
+            )
+        text = json.dumps(records[0] if shape == 2 else records, separators=(",", ":"))
         return "```json\n" + text + "\n```" if shape == 1 else text
 
-    return score
+    return make
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,12 +230,12 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
-    return call_scorer(_requests(spark, sf), lambda: stub_scorer())
+    return call_scorer(_requests(spark, sf), stub_scorer())
 
 
 def _model_result(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return score_with_model(
-        _numbered(spark, sf), lambda: stub_scorer(), ["doc_id"], RULES, unique=True
+        _numbered(spark, sf), stub_scorer(), ["doc_id"], RULES, unique=True
     )
 
 
@@ -373,7 +373,7 @@ def _run_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model_final(spark: SparkSession, sf: str) -> DataFrame:
     result = run_pipeline(
-        _numbered(spark, sf), lambda: stub_scorer(), ["doc_id"], True, rules=RULES
+        _numbered(spark, sf), stub_scorer(), ["doc_id"], True, rules=RULES
     )
     return result.final.select(ID, *SCORE_COLUMNS)
 
