@@ -23,7 +23,7 @@ from siftline.config import (
     RuleBook,
 )
 from siftline.operators.rules import reject_score_columns, score_inline, score_leads
-from siftline.sources.store import materialize
+from siftline.sources.store import materialize, small_side
 
 # Copies are made in blocks, so that a row wanted very often never needs one huge array.
 COPY_BLOCK = 64
@@ -59,21 +59,24 @@ def score_and_enrich(leads: DataFrame, rules: RuleBook = DEFAULT_RULES) -> DataF
 
     A lead whose id stands in no other row is joined to its own score only, so that score is put
     beside it in the scan. Repeated ids are found from the id column alone, and only their rows
-    are scored for the join. Both small tables are written, so that the joins are planned with
-    measured sizes: broadcast where small, shuffled (with skew handling) where not.
+    are scored for the join. Both tables are written and counted: broadcast where small, shuffled
+    (with skew handling) where not.
     """
     own = score_inline(leads, rules)
     sizes = leads.groupBy(F.col(ID).alias(_SCORED_ID)).agg(F.count("*").alias("_n"))
     repeated = materialize(sizes.where(F.col("_n") > 1).select(_SCORED_ID), name="repeated")
-    if repeated.isEmpty():
+    n_repeated = repeated.count()
+    if n_repeated == 0:
         return own.withColumn(COPIES, F.lit(1).cast("bigint"))
-    rows = leads.join(repeated, leads[ID].eqNullSafe(repeated[_SCORED_ID]), "left_semi")
+    same_id = leads[ID].eqNullSafe(repeated[_SCORED_ID])
+    rows = leads.join(small_side(repeated, n_repeated), same_id, "left_semi")
     theirs = distinct_scores(score_leads(rows, rules)).select(
         F.col(ID).alias(_SCORED_ID),
         F.struct(*SCORE_COLUMNS, COPIES).alias("_theirs"),
     )
     theirs = materialize(theirs, name="scores")
-    joined = own.join(theirs, own[ID].eqNullSafe(theirs[_SCORED_ID]), "left").drop(_SCORED_ID)
+    same_id = own[ID].eqNullSafe(theirs[_SCORED_ID])
+    joined = own.join(small_side(theirs, theirs.count()), same_id, "left").drop(_SCORED_ID)
     found = F.col("_theirs").isNotNull()
     return joined.withColumns(
         {

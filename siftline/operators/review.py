@@ -17,7 +17,7 @@ from siftline.functions.repair import (
 from siftline.operators.enrich import COPY_NO, expand_copies
 from siftline.operators.ordering import TIE, number_rows, with_tie_break
 from siftline.sources.handover import ROW_ID
-from siftline.sources.store import materialize
+from siftline.sources.store import materialize, small_side
 
 OP = "op"
 EDIT_SEQ = "edit_seq"
@@ -117,15 +117,14 @@ def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
     A cell of an update that is NULL leaves the value as it is. ``id`` and the description are
     locked: updates do not touch them.
 
-    One left join brings updates and deletes. Their table is written first, so that the join is
-    planned with its measured size: few edits are broadcast and the review table stays where it
-    is; many are shuffled like any other join.
+    One left join brings updates and deletes. Their table is written and counted first: few edits
+    are broadcast and the review table stays where it is; many are shuffled like any other join.
     """
     editable = [
         c for c in review.columns if c not in (*LOCKED, ROW_ID) and c in edits.columns
     ]
     changes = materialize(one_edit_per_row(edits, editable), name="edits")
-    joined = review.join(changes, ROW_ID, "left").where(~F.coalesce("_deleted", F.lit(False)))
+    joined = review.join(small_side(changes, changes.count()), ROW_ID, "left").where(~F.coalesce("_deleted", F.lit(False)))
     types = dict(review.dtypes)
     kept = joined.select(
         *[

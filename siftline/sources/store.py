@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Tables are broadcast up to this many rows. Their files may be far smaller than their rows.
+BROADCAST_ROWS = 100_000
 
 SHARED_DIR = "spark.checkpoint.dir"
 
@@ -39,3 +43,9 @@ def materialize(table: DataFrame, path: str | None = None, name: str = "table")
     path = path or new_path(spark, name)
     table.write.mode("errorifexists").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def small_side(table: DataFrame, rows: int) -> DataFrame:
+    """A written table as one side of a join: broadcast if its counted rows are few, else kept out
+    of any broadcast, so that both sides are shuffled and adaptive execution splits hot keys."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
