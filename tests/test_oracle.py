@@ -22,3 +22,11 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
     assert compare(QUERIES[name](spark, SF_DIR), db, SQL[name]) is None
+
+
+def test_entry(spark):
+    import __spark_entry__ as spark_entry
+
+    assert spark_entry.entry(spark).columns == ["total", "hot", "warm", "junk", "potential_rate"]
+    assert spark_entry.entry(spark).first().total == 200
+    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
