@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import simhash
+from siftline.llm import passages, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,11 +44,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir)).drop("kept")
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
-ALL: tuple[Query, ...] = (op10_simhash_near_duplicates,)
+ALL: tuple[Query, ...] = (op8_substring_dedup, op10_simhash_near_duplicates)
 
 
 def queries() -> dict[str, Query]:
