@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import passages, simhash
+from siftline.llm import passages, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_documents(spark, sf_dir)).drop("kept")
 
@@ -52,7 +56,11 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
-ALL: tuple[Query, ...] = (op8_substring_dedup, op10_simhash_near_duplicates)
+ALL: tuple[Query, ...] = (
+    op6_token_counts,
+    op8_substring_dedup,
+    op10_simhash_near_duplicates,
+)
 
 
 def queries() -> dict[str, Query]:
