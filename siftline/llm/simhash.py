@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = groups.join(lows, "component").select("print", "low")
     ids = prints.join(named, "print", "left").select(
         "print", F.coalesce("low", "first").alias("component_id")
-    )
+    ).transform(written, "ids")
     return rows.join(ids, "print").select(
         "doc_id",
         F.lower(F.lpad(F.hex(F.col("print").bitwiseXOR(F.lit(-SHIFT))), 16, "0")).alias("fingerprint"),
