@@ -13,7 +13,8 @@ from siftline.llm.profile import Profile, labelled, odds, platt, sigmoid
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-THRESHOLD = 0.5
+# Short clean texts have few n-grams and score lower than long ones; junk scores near 0.
+THRESHOLD = 0.2
 TRAIN_ROWS = 3_000
 BITS = 16
 SIZE = 1 << BITS
@@ -27,14 +28,17 @@ SPREAD = np.uint32(2654435769)
 def _families(p: Profile):
     """(hashed n-grams, where each text's start) for words, word pairs and runs of bytes.
 
-    Runs of bytes and word pairs never reach from one text into the next.
+    Runs of bytes and word pairs never reach from one text into the next. All pairs of a word with
+    itself are one n-gram.
     """
     fold = np.uint64(64 - BITS)
     yield ((p.hash * GOLDEN) >> fold).astype(np.int64), p.word_starts
     room = np.maximum(p.n_words - 1, 0)
     starts = np.concatenate([[0], np.cumsum(room)])
     at = np.arange(starts[-1]) + np.repeat(p.word_starts[:-1] - starts[:-1], room)
-    yield (mix(p.hash[at] * GOLDEN + p.hash[at + 1]) >> fold).astype(np.int64), starts
+    pair = (mix(p.hash[at] * GOLDEN + p.hash[at + 1]) >> fold).astype(np.int64)
+    pair[p.hash[at] == p.hash[at + 1]] = 0
+    yield pair, starts
     size = np.diff(p.starts)
     for n in CHARS:
         code = np.zeros(max(0, len(p.data) - n + 1), np.uint32)
