@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import language, packing, passages, quality_model, quality_rules, simhash, tokens
+from siftline.llm import language, packing, passages, quality_model, quality_rules, secrets, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir))
 
@@ -80,6 +84,7 @@ ALL: tuple[Query, ...] = (
     op2_quality_rules,
     op3_language_id,
     op4_quality_classifier,
+    op5_secret_scan,
     op6_token_counts,
     op8_substring_dedup,
     op9_best_fit_packing,
