@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import language, packing, passages, quality_model, quality_rules, secrets, simhash, tokens
+from siftline.llm import language, mixing, packing, passages, quality_model, quality_rules, secrets, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir))
 
 
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_documents(spark, sf_dir)).drop("kept")
 
@@ -86,6 +90,7 @@ ALL: tuple[Query, ...] = (
     op4_quality_classifier,
     op5_secret_scan,
     op6_token_counts,
+    op7_source_mixture,
     op8_substring_dedup,
     op9_best_fit_packing,
     op10_simhash_near_duplicates,
