@@ -1,23 +1,49 @@
 """A training corpus from ``documents``: clean, without near copies or secrets, mixed and packed.
 
 Every stage takes (spark, docs, sf_dir) and gives a table that is written before the next one reads it.
+All but the last return the columns of ``docs``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import simhash
+from siftline.llm import mixing, packing, quality_rules, secrets, simhash
 from siftline.llm.common import written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of sources has it: large sources lose some, small ones
+    repeat some."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("quality_rules", keep_good),
     ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixture", mix_sources),
+    ("packing", pack),
 ]
 
 # Hash functions, trained models and tokenizers are beyond SQL.
