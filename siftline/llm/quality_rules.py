@@ -13,12 +13,12 @@ from siftline.llm.profile import Profile, labelled, odds, platt, sigmoid
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-# Short clean texts have few n-grams and score lower than long ones; junk scores near 0.
-THRESHOLD = 0.2
+THRESHOLD = 0.5
 TRAIN_ROWS = 3_000
 BITS = 16
 SIZE = 1 << BITS
 EPOCHS = 12
+STEPS = 1_000
 BATCH = 32
 CHARS = (2, 4)
 FAMILIES = 2 + len(CHARS)
@@ -94,8 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model of ``labels.quality`` from about ``rows`` labelled rows. A row comes to the driver
     as its different hashed n-grams, at most ``FAMILIES * 2**BITS`` of them, whatever its length.
 
-    Four fifths of the rows fit the weights (AdaGrad, both classes weighing the same), the rest
-    calibrate them. Without rows of both classes the score is their smoothed share.
+    Four fifths of the rows fit the weights (AdaGrad, both classes weighing the same, ``EPOCHS`` rounds
+    and ``STEPS`` steps at the least), the rest calibrate them. Without rows of both classes the score is their smoothed share.
     """
     found = labelled(docs, labels, "quality", rows).mapInArrow(_features, "label int, idx binary, val binary").collect()
     found.sort(key=lambda r: (r["idx"], r["val"], r["label"]))
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         row = np.repeat(np.arange(len(pick)), size)
         return at, x, row, np.bincount(row, w[at] * x, minlength=len(pick)) + bias
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(fit)))):
         rng.shuffle(fit)
         for a in range(0, len(fit), BATCH):
             pick = fit[a : a + BATCH]
