@@ -20,8 +20,8 @@ from siftline.llm.common import byte_texts, need, shuffle_partitions, sliced, wr
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
-GROUPS = 32
-SMALL = 8
+# Group counts and smallest large share of the capacity that are tried, in this order.
+TRIALS = ((16, 4), (16, 2), (8, 2), (8, 8), (24, 3))
 KNOWN = 700_000
 RANK_ROWS = 100_000
 
@@ -147,7 +147,7 @@ def _knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), pattern
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, trials: tuple = TRIALS) -> list[tuple]:
     """Where the pieces go, given how many there are of each length.
 
     Rows (length, first rank, how many, first sequence, pieces a sequence, offset): of the pieces of
@@ -155,11 +155,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     of consecutive sequences. The work and the rows depend on the number of different
     lengths (``capacity`` at most) and of groups, not on the number of documents.
 
-    Lengths over an eighth of the capacity are dealt, largest first, into groups of equally many
+    Lengths over a share of the capacity are dealt, largest first, into groups of equally many
     pieces and rounded up to the longest of their group; configurations of rounded lengths are
     optimised and used a whole number of times, each place taking an actual piece of its group.
     What is left and all small pieces go, longest first, to the fullest sequence that takes them.
+    A few numbers of groups and shares are tried until a plan needs no more sequences than the tokens
+    fill; else the best one is taken.
     """
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best: tuple[int, list[tuple]] | None = None
+    for groups, small in trials:
+        found = _plan(counts, capacity, groups, capacity // small)
+        best = found if best is None or found[0] < best[0] else best
+        if best[0] <= least:
+            break
+    return best[1] if best else []
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, small: int) -> tuple[int, list[tuple]]:
+    """(sequences, rows)"""
     left = dict(counts)
     rank = dict.fromkeys(left, 0)
     rows: list[tuple] = []
@@ -174,7 +188,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     if full := left.get(capacity, 0):
         take(capacity, full, 0, 1, 0)
         sequences = full
-    large = sorted((x for x in left if capacity // SMALL < x < capacity), reverse=True)
+    large = sorted((x for x in left if small < x < capacity), reverse=True)
     total = sum(left[x] for x in large)
     if total:
         share = -(-total // groups)
@@ -235,7 +249,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
             take(x, used * each, at, each, capacity - space)
             offer(space - each * x, at, used)
             offer(space, at + used, many - used)
-    return rows
+    return sequences, rows
 
 
 def _place(runs, queue, take):
@@ -278,7 +292,7 @@ def ranked(table: DataFrame, rows: int) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, groups: int = GROUPS
+    docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of ``docs``
     (``doc_id, text``).
@@ -293,7 +307,7 @@ def pack_documents(
     """
     table = written(pieces(docs, vocabulary, capacity), "pieces")
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
-    rows = sorted(plan(counts, capacity, groups))
+    rows = sorted(plan(counts, capacity))
     length, first, _, sequence, each, offset = (np.array(x, np.int64) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 6
 
     def place(batches):
