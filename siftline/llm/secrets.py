@@ -25,6 +25,7 @@ CANDIDATE = f"[{RUN}]{{{RUN_LENGTH},}}"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(LETTERS) + 1
 TRAIN_DOCS = 20_000
+ORDINARY_DOCS = 400
 SMOOTHING = 10.0
 UNIFORM = 0.5
 MIN_RATIO = 1.0
@@ -107,18 +108,18 @@ def _codes(token: Column) -> Column:
 def train(docs: DataFrame, sample_docs: int = TRAIN_DOCS) -> list[float]:
     """Log-likelihood ratio, random over ordinary, of each letter given the one before.
 
-    Labelled samples: values of base spans are random strings; other runs of letters of the same
-    documents are ordinary identifiers. They come from about ``sample_docs`` documents, by the hash of
-    their id. A pair's count is smoothed by the letter's own frequency; half of the random model is
+    Labelled samples: values of base spans are random strings; other runs of letters of those
+    documents, and of about ``ORDINARY_DOCS`` more, are ordinary identifiers. All come from about
+    ``sample_docs`` documents, by the hash of their id. A pair's count is smoothed by the letter's own frequency; half of the random model is
     an even choice of letters, so that kinds of random strings without a sample count as well. A
     letter after itself says nothing: rules of dashes are neither.
     """
     n = docs.count()
-    share = min(1 << 30, int((1 << 30) * sample_docs / max(1, n)))
-    some = need(docs, "doc_id", "text").where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    base = _base(some)
+    share, plain = (min(1 << 30, int((1 << 30) * k / max(1, n))) for k in (sample_docs, ORDINARY_DOCS))
+    some = docs.where("text is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), "text")
+    base = _base(some.where(F.col("draw") < share))
     random = F.transform(F.concat("assign", "access", "hex"), lambda s: s["value"])
-    base = base.where(F.size(F.concat("assign", "access", "hex")) > 0).select("text", random.alias("random"))
+    base = base.select("draw", "text", random.alias("random")).where((F.size("random") > 0) | (F.col("draw") < plain))
     runs = F.regexp_extract_all("text", F.lit(f"[{RUN}]{{{SAMPLE_LENGTH},}}"), F.lit(0))
     samples = base.select(
         F.explode(
