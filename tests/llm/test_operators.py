@@ -1,0 +1,274 @@
+"""Awkward rows and brute force: nulls, empty and long texts, repeated rows, ties, empty tables and
+columns of clashing names."""
+
+import bisect
+import hashlib
+import math
+import zlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from siftline.llm import (
+    components, language, mixing, packing, passages, quality_model, quality_rules, secrets, simhash, tokens, vectors,
+)
+
+SF = "/root/testdata/sf0.001"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return brute.awkward(spark).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, 4, 7, 8, 10, 11)] + [(None, 1, 0), (3, None, 0)], LABELS)
+
+
+def test_quality_rules(docs, labels):
+    got = brute.rows(
+        quality_rules.judge(docs, labels), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+    want = []
+    for i, text, *_ in brute.AWKWARD:
+        counts = brute.base_counts(text)
+        want.append((i, *counts, counts[0] < 10 or 100 * counts[4] > 20 * counts[0]))
+    assert got == sorted(want, key=repr)
+    assert quality_rules.judge(docs, labels).where("kept and base_failed").count() == 0
+    judged = brute.rows(quality_rules.judge(docs, labels).where("kept"), "doc_id")
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and brute.rows(kept, "doc_id") == judged
+
+
+def test_language(docs):
+    got = {(r.doc_id, r.lang_pred, r.held_out) for r in language.identify(docs).collect()}
+    assert len(language.identify(docs).collect()) == len(brute.AWKWARD)
+    for i, lang, held in got:
+        assert held == (None if i is None else zlib.crc32(str(i).encode()) % 4 == 2)
+    assert {lang for i, lang, _ in got if i in (3, 4, 5, 10)} == {"und"}
+
+
+def test_quality_model(docs, labels):
+    got = quality_model.score_quality(docs, labels).collect()
+    assert len(got) == len(brute.AWKWARD)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+def test_secrets(docs):
+    got = {r.doc_id: r for r in secrets.scan(docs).where("doc_id is not null").collect()}
+    for i, text, *_ in brute.AWKWARD:
+        if i is not None:
+            spans = brute.base_spans(text)
+            name = ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+            assert got[i].base_sha256 == hashlib.sha256(name.encode()).hexdigest()
+            assert [s for s in got[i].spans.split(",") if s and not s.startswith("model")] == [x for x in name.split(",") if x]
+            assert got[i].n_hex == sum(k == "hex" for _, _, k, _ in spans)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(brute.AWKWARD)
+    text = clean.where("doc_id = 6").first().text
+    assert "0123456789abcdef" not in text and "AKIA" not in text and text.startswith('the token = "[SECRET]" is [SECRET]')
+    assert clean.where("doc_id = 7").first().text == brute.LONG
+
+
+def test_secrets_of_the_model(spark):
+    """Random strings of kinds no pattern knows; long words, rules of dashes and dates are left alone."""
+    model = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    random = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"]
+    plain = ["-" * 40, "=-" * 20, "internationalizationofthewhole", "THTHTHTHTHTHTHTHTHTHTHTHTHTH"]
+    docs = spark.createDataFrame([(0, " ".join(random + plain))], "doc_id long, text string")
+    row = secrets.scan(docs, model).first()
+    text = docs.first().text
+    found = [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in row.spans.split(","))]
+    assert found == random and row.n_model == 3
+
+
+def test_running_sums(spark):
+    many = [list(range(n)) for n in (0, 1, 511, 512, 513, 3000)]
+    table = spark.createDataFrame([(x,) for x in many], "x array<int>")
+    for r in table.select("x", secrets.running(table.x).alias("y")).collect():
+        assert r.y == [sum(r.x[:i]) for i in range(len(r.x))]
+
+
+def test_token_counts(docs):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text, *_ in brute.AWKWARD:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        want.append((i, len((text or "").encode()), n, n > 1024))
+    assert brute.rows(tokens.token_counts(docs), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
+
+
+def test_passages(docs):
+    for shard in (1000, 1 << 22):
+        got = brute.rows(passages.repeated_passages(docs, shard_bytes=shard), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == brute.passages([r[:2] for r in brute.AWKWARD])
+
+
+def test_simhash(docs):
+    prints = [brute.fingerprint(r[1]) for r in brute.AWKWARD]
+    near = np.array([[bin(a ^ b).count("1") <= 3 for a in prints] for b in prints])
+    comp = brute.components([r[0] for r in brute.AWKWARD], near)
+    want = sorted(((r[0], f"{p:016x}", c) for r, p, c in zip(brute.AWKWARD, prints, comp)), key=repr)
+    assert brute.rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = brute.rows(kept, "doc_id")
+    assert ids == sorted([(r[0],) for r in brute.AWKWARD if r[0] is None] + [(i,) for i in {w[2] for w in want if w[0] is not None}], key=repr)
+
+
+def test_shards_of_fingerprints(spark):
+    """Many shards and deep trees find the same links as comparing all."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) if k else 0 for k in rng.integers(0, 6, 1500)], np.uint64)
+    prints = np.unique(base[rng.integers(0, 300, 1500)] ^ flips)
+    signed = [int(p) - simhash.SHIFT for p in prints]
+    table = spark.createDataFrame([(p,) for p in signed], "print long").repartition(5)
+    got = {r.node: r.component for r in components.components(simhash.print_edges(table, shard_rows=100)).collect()}
+    low = brute.closure(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3)
+    groups = {}
+    for p, k in zip(signed, low):
+        groups.setdefault(k, set()).add(p)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {
+        frozenset(p for p in got if got[p] == c) for c in set(got.values())
+    }
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (None, 3)]
+    table = spark.createDataFrame(path, "a long, b long")
+    got = {r.node: r.component for r in components.components(table).collect()}
+    assert got == {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(300)}
+
+
+@pytest.mark.parametrize("cell_rows", [20, 4096])
+def test_vectors(spark, cell_rows):
+    rng = np.random.default_rng(5)
+    data, base = [], rng.normal(size=(12, 48))
+    for i in range(400):
+        v = base[i % 12] + rng.normal(size=48) * [0.0, 0.1, 0.14][i % 3]
+        data.append((1000 - i, [float(np.float32(x)) for x in v], [1, 1, 2, None][i % 4]))
+    data += [data[0], (5, data[0][1], 1), (6, [2 * x for x in data[0][1]], 1), (7, None, 1), (8, [], 1), (9, [0.0] * 48, 1)]
+    data += [(10, [float("nan")] * 48, 1), (11, [None] + [1.0] * 47, 1), (12, [1.0, 0.0], 1), (13, [1.0, 1e-3], 1), (None, data[0][1], 1), (14, [float("inf")] * 48, 1)]
+    table = spark.createDataFrame([(*d, "x", 3) for d in data], "vec_id long, embedding array<float>, label int, cell string, tile int")
+    unit = []
+    for i, e, label in data:
+        x = np.array([np.nan if y is None else y for y in e or []], float)
+        unit.append(x / np.sqrt(x @ x) if i is not None and label and len(x) and np.isfinite(x).all() and x.any() else None)
+    near = np.array([
+        [a is b or (a is not None and b is not None and len(a) == len(b) and data[i][2] == data[j][2] and a @ b >= 0.98) for j, b in enumerate(unit)]
+        for i, a in enumerate(unit)
+    ])
+    near |= np.eye(len(data), dtype=bool)
+    for i, a in enumerate(unit):
+        if a is None:
+            near[i], near[:, i] = np.arange(len(data)) == i, np.arange(len(data)) == i
+    comp = brute.components([d[0] for d in data], near)
+    want = sorted(((d[0], int(n) - 1, c, d[0] is not None and d[0] == c) for d, n, c in zip(data, near.sum(1), comp)), key=repr)
+    got = brute.rows(vectors.near_vectors(table, cell_rows=cell_rows), "vec_id", "n_links", "component_id", "kept")
+    assert got == want and any(w[1] > 5 for w in want)
+
+
+def test_packing(docs):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, text, *_ in brute.AWKWARD:
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            want.append((i, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())))
+    got = packing.pack_documents(docs)
+    assert brute.rows(got, "doc_id", "piece", "start", "length", "ids_crc32") == sorted(want, key=repr)
+    gapless(got.collect(), 4096)
+
+
+def gapless(pieces, capacity):
+    sequences = {}
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_plan(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip([rng.integers(1, 200, 300), rng.lognormal(5, 1, 4000), np.full(500, 67), rng.choice([60, 40, 26, 100, 1], 3000), rng.integers(45, 56, 2000)][seed].astype(int), 1, 200)
+    counts = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    used, seen = {}, {}
+    for length, first, n, sequence, each, offset in packing.plan(counts, 200):
+        for k in range(n):
+            used.setdefault(sequence + k // each, []).append((offset + k % each * length, length))
+            assert seen.setdefault((length, first + k), True) is True
+    assert len(seen) == len(lengths)
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 200
+    assert math.ceil(lengths.sum() / 200) <= len(used) <= 1.06 * best_fit(lengths, 200) + 3
+
+
+def best_fit(lengths, capacity):
+    """Sequences of plain best fit, longest first."""
+    rooms = []
+    for x in sorted(map(int, lengths), reverse=True):
+        k = bisect.bisect_left(rooms, x)
+        room = rooms.pop(k) if k < len(rooms) else capacity
+        bisect.insort(rooms, room - x)
+    return len(rooms)
+
+
+def test_mixture(spark):
+    rows = [(i, f"{'w ' * (1 + i % 5)}{i}", "en", "hot") for i in range(3000)]
+    rows += [(10_000 + i, f"a b c {i}", "en", f"s{i % 4}") for i in range(400)]
+    rows += [(20_000 + i, f"n {i}", "en", None) for i in range(300)] + [(30_000, None, "en", "empty"), (None, "x y", None, "s0")]
+    docs = brute.awkward(spark, rows)
+    got = mixing.mixture(docs, max_repeats=3.0).collect()
+    assert len(got) == len(rows)
+    sources = {}
+    for r in got:
+        s = sources.setdefault(r.source, {"n": 0, "taken": 0, "copies": set(), "weight": r.weight})
+        s["n"] += r.n_tokens
+        s["taken"] += r.n_tokens * r.copies
+        s["copies"].add(r.copies)
+    total = sum(s["n"] for s in sources.values())
+    assert sum(s["weight"] for s in sources.values()) == pytest.approx(1)
+    for s in sources.values():
+        if s["n"]:
+            assert 0 <= s["weight"] * total - s["taken"] <= 8 and max(s["copies"]) - min(s["copies"]) <= 1
+            assert s["weight"] * total <= 3.0 * s["n"] * 1.0001
+    h = lambda ws: -sum(w * math.log(w) for w in ws if w)
+    assert h([s["weight"] for s in sources.values()]) > h([s["n"] / total for s in sources.values()])
+    mixed = mixing.mixed(docs, max_repeats=3.0)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    loose = {r.source: r.weight for r in mixing.mixture(docs, entropy=0.8, max_repeats=100.0).collect()}
+    assert h(loose.values()) == pytest.approx(0.8 * math.log(6), abs=1e-6)
+
+
+def test_empty_tables(spark, labels):
+    docs = brute.awkward(spark).where("doc_id = 77")
+    vecs = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    none = labels.where("doc_id = 77")
+    for table in (
+        quality_rules.judge(docs, none), quality_rules.keep_good(docs, labels), language.identify(docs), quality_model.score_quality(docs, none),
+        secrets.scan(docs), secrets.redact(docs), tokens.token_counts(docs), mixing.mixture(docs), mixing.mixed(docs), passages.repeated_passages(docs),
+        packing.pack_documents(docs), simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs), vectors.near_vectors(vecs),
+    ):
+        assert table.count() == 0
+
+
+def test_unlabelled(docs, labels):
+    none = labels.where("doc_id = 77")
+    assert {round(r.score, 6) for r in quality_model.score_quality(docs, none).collect()} == {0.5}
+    assert quality_rules.judge(docs, none).where("kept").count() == quality_rules.judge(docs, none).where("not base_failed").count()
