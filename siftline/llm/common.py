@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.sources.store import materialize
+from siftline.sources.store import materialize, shared_dir
 
 SLICE_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -112,5 +112,13 @@ def written(table: DataFrame, name: str) -> DataFrame:
     return materialize(table, name=name)
 
 
+def cut(table: DataFrame) -> DataFrame:
+    """The table with its lineage cut by ``checkpoint()``, in the folder that the session names."""
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(table.sparkSession))
+    return table.checkpoint()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

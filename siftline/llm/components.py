@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.common import cut
+
 MAX_ROUNDS = 60
 
 
@@ -37,11 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a is not null and b is not null and a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
-        .checkpoint()
+        .transform(cut)
     )
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = _stars(_stars(edges, large=True), large=False).checkpoint()
+        edges = cut(_stars(_stars(edges, large=True), large=False))
         # Equal sums of a mixed hash of all edges: nothing moved in this round.
         now = edges.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from siftline.llm.common import byte_texts, need, sliced, written
+from siftline.llm.common import byte_texts, cut, need, sliced, written
 from siftline.llm.components import components
 
 SEED = 42
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("first")).transform(written, "prints")
-    linked = components(print_edges(prints.select("print"), radius)).checkpoint()
+    linked = cut(components(print_edges(prints.select("print"), radius)))
     groups = linked.join(prints, linked.node == prints.print).select("component", "print", "first")
     lows = groups.groupBy("component").agg(F.min("first").alias("low"))
     named = groups.join(lows, "component").select("print", "low")
