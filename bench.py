@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from siftline.plans.catalog import queries
@@ -37,6 +38,8 @@ HEADLINE = (
     "flatten_scores",
     "score_with_model",
     "export_handover",
+    "review_and_export",
+    "first_keyword_many",
     "triage_kpis",
     "dashboard",
 )
@@ -56,6 +59,7 @@ def main() -> None:
             "spark.driver.host": "127.0.0.1",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="siftline-"),
         },
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -10,7 +10,8 @@ from siftline.config import CLASSES, NEUTRAL_REASON, WARM
 # Plain decimal numbers only. Spark's own cast also takes "50d" or "1f", which are not numbers
 # in a spreadsheet.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INT_LIMIT = 2147483647
+# Scores are 64-bit whole numbers; this is the first number beyond them.
+LONG_LIMIT = float(1 << 63)
 
 
 def parse_number(col: Column, numeric: bool = False) -> Column:
@@ -26,9 +27,9 @@ def parse_number(col: Column, numeric: bool = False) -> Column:
 
 
 def coerce_score(col: Column, default: int = 10, numeric: bool = False) -> Column:
-    """Score as int, cut toward zero; missing, unreadable or out of int range gives ``default``."""
+    """Score as bigint, cut toward zero; missing, unreadable or beyond 64 bits gives ``default``."""
     number = parse_number(col, numeric)
-    return F.when(F.abs(number) <= INT_LIMIT, number).otherwise(F.lit(float(default))).cast("int")
+    return F.when(F.abs(number) < LONG_LIMIT, number.cast("bigint")).otherwise(F.lit(default).cast("bigint"))
 
 
 def coerce_class(col: Column, default: str = WARM) -> Column:

@@ -9,6 +9,9 @@ from siftline.config import CLASS, ID, REASON, SCORE
 
 RECORDS_SCHEMA = f"array<struct<{ID}:string,{SCORE}:string,{CLASS}:string,{REASON}:string>>"
 
+# Stands behind a response to see that all of it was read.
+END_MARK = "-- end of response --"
+
 FENCE = "```"
 JSON_FENCE = FENCE + "json"
 
@@ -41,14 +44,26 @@ def strip_fence(response: Column) -> Column:
 def parse_scores(text: Column) -> Column:
     """Records of a JSON list of objects; NULL for any other text.
 
-    ``from_json`` alone accepts a top-level object and text after the list. Wrapping the text
-    in brackets and asking for exactly one inner list rules both out.
+    As lenient as Python's reader: of a repeated key the last value counts, and ``NaN`` and
+    infinities are numbers. Wrapping the text in brackets with a marked list behind it, and asking
+    for exactly these two, rules out a top-level object and text after the list, which
+    ``from_json`` alone accepts.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    lists = F.try_variant_get(wrapped, "$", "array<array<variant>>")
-    is_list = (F.size(lists) == 1) & F.get(lists, F.lit(0)).isNotNull()
-    # In an array of one, the parsed records are tested and taken without parsing them twice.
-    records = F.filter(
-        F.array(F.from_json(text, RECORDS_SCHEMA)), lambda r: F.forall(r, lambda x: x.isNotNull())
+    wrapped = F.concat(F.lit("["), text, F.lit(f',[{{"{ID}":"{END_MARK}"}}]]'))
+    options = {"allowSingleQuotes": "false"}
+
+    def read(controls: str) -> Column:
+        return F.from_json(wrapped, f"array<{RECORDS_SCHEMA}>", {**options, "allowUnquotedControlChars": controls})
+
+    # Raw line breaks inside strings are no JSON, but only drop the value they stand in: a second
+    # reading that allows them then differs. In an array of one, the parsed lists are tested and
+    # taken without parsing them again.
+    good = F.filter(
+        F.array(F.struct(read("false").alias("x"), read("true").alias("y"))),
+        lambda r: r["x"].eqNullSafe(r["y"])
+        & (F.size(r["x"]) == 2)
+        & F.coalesce(F.get(F.get(r["x"], F.lit(1)), F.lit(0))[ID] == END_MARK, F.lit(False))
+        & F.get(r["x"], F.lit(0)).isNotNull()
+        & F.forall(F.get(r["x"], F.lit(0)), lambda v: v.isNotNull()),
     )
-    return F.when(is_list, F.get(records, F.lit(0)))
+    return F.get(F.get(good, F.lit(0))["x"], F.lit(0))

@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Up to this many phrases the search is a CASE chain, which stops at the first hit and stays
-# inside code generation. Longer lists go through one array filter instead, so that generated
-# code does not grow with the list.
-CHAIN_LIMIT = 200
-
 
 def normalize_text(col: Column, missing: str = "") -> Column:
     """Text as string, missing as ``missing``, lower-cased. No Unicode normalisation."""
@@ -22,11 +17,8 @@ def first_keyword(text: Column, phrases: Sequence[str]) -> Column:
     """First phrase, in list order, found anywhere in ``text``; NULL when there is none.
 
     A regular expression would give the leftmost hit in the text, which is another phrase
-    whenever two phrases occur.
+    whenever two phrases occur. One chain for lists of any length: it stops at the first hit.
     """
     if not phrases:
         return F.lit(None).cast("string")
-    if len(phrases) > CHAIN_LIMIT:
-        hits = F.filter(F.lit(list(phrases)), lambda p: F.contains(text, p))
-        return F.get(hits, F.lit(0))
     return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases])

@@ -23,9 +23,10 @@ from siftline.config import (
     RuleBook,
 )
 from siftline.operators.rules import reject_score_columns, score_inline, score_leads
-from siftline.sources.store import materialize, small_side
+from siftline.sources.store import materialize
 
-# Copies are made in blocks, so that a row wanted very often never needs one huge array.
+# Copies are made in blocks, so that a row wanted very often never needs one huge array. A block is
+# also the least that is worth moving to another task.
 COPY_BLOCK = 64
 BLOCK_STEP = 65_536
 
@@ -33,6 +34,7 @@ COPY_NO = "_copy"
 _BLOCK = "_block"
 
 _SCORED_ID = "_scored_id"
+WIDE = "decimal(38,0)"
 
 
 def distinct_scores(scored: DataFrame) -> DataFrame:
@@ -59,24 +61,23 @@ def score_and_enrich(leads: DataFrame, rules: RuleBook = DEFAULT_RULES) -> DataF
 
     A lead whose id stands in no other row is joined to its own score only, so that score is put
     beside it in the scan. Repeated ids are found from the id column alone, and only their rows
-    are scored for the join. Both tables are written and counted: broadcast where small, shuffled
-    (with skew handling) where not.
+    are scored for the join. Both tables are written, so that Spark knows their size: it
+    broadcasts small ones and shuffles others, splitting hot ids.
     """
     own = score_inline(leads, rules)
     sizes = leads.groupBy(F.col(ID).alias(_SCORED_ID)).agg(F.count("*").alias("_n"))
     repeated = materialize(sizes.where(F.col("_n") > 1).select(_SCORED_ID), name="repeated")
-    n_repeated = repeated.count()
-    if n_repeated == 0:
+    if repeated.isEmpty():
         return own.withColumn(COPIES, F.lit(1).cast("bigint"))
     same_id = leads[ID].eqNullSafe(repeated[_SCORED_ID])
-    rows = leads.join(small_side(repeated, n_repeated), same_id, "left_semi")
+    rows = leads.join(repeated, same_id, "left_semi")
     theirs = distinct_scores(score_leads(rows, rules)).select(
         F.col(ID).alias(_SCORED_ID),
         F.struct(*SCORE_COLUMNS, COPIES).alias("_theirs"),
     )
     theirs = materialize(theirs, name="scores")
     same_id = own[ID].eqNullSafe(theirs[_SCORED_ID])
-    joined = own.join(small_side(theirs, theirs.count()), same_id, "left").drop(_SCORED_ID)
+    joined = own.join(theirs, same_id, "left").drop(_SCORED_ID)
     found = F.col("_theirs").isNotNull()
     return joined.withColumns(
         {
@@ -129,7 +130,8 @@ def enrich(leads: DataFrame, scored: DataFrame) -> DataFrame:
 def match_counts(leads: DataFrame, scored: DataFrame) -> DataFrame:
     """Rows the join would give, as (score, classification, copies) per id, without joining rows.
 
-    Both sides are reduced to counts per id before they meet.
+    Both sides are reduced to counts per id before they meet. Copies are decimals: ids with very many
+    leads and scores have more pairs than a bigint holds.
     """
     left = leads.groupBy(ID).agg(F.count("*").alias("_leads"))
     right = (
@@ -141,7 +143,9 @@ def match_counts(leads: DataFrame, scored: DataFrame) -> DataFrame:
         ID,
         SCORE,
         CLASS,
-        (F.col("_leads") * F.coalesce(F.col("_scores"), F.lit(1))).alias(COPIES),
+        (F.col("_leads").cast(WIDE) * F.coalesce(F.col("_scores"), F.lit(1)).cast("decimal(18,0)"))
+        .cast(WIDE)
+        .alias(COPIES),
     )
 
 

@@ -1,7 +1,8 @@
 """Dashboard numbers over the joined table, taken before any repair.
 
 Each function reads a ``_copies`` column where there is one, so the compact join result gives the
-numbers of the full one.
+numbers of the full one. Counts are ``decimal(38,0)``: pairs of leads and scores may be more than a
+bigint holds.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ from pyspark.sql import functions as F
 
 from siftline.config import CLASS, CLASS_LABELS, COPIES, HOT, JUNK, SCORE, WARM
 from siftline.functions.rating import potential_rate
+from siftline.operators.enrich import WIDE
 
 
 def _rows(final: DataFrame, where: Column | None = None) -> Column:
-    weight = F.col(COPIES) if COPIES in final.columns else F.lit(1).cast("bigint")
+    if COPIES not in final.columns:
+        counted = F.count(F.lit(1) if where is None else F.when(where, F.lit(1)))
+        return counted.cast(WIDE)
+    weight = F.col(COPIES).cast(WIDE)
     counted = weight if where is None else F.when(where, weight)
-    return F.coalesce(F.sum(counted), F.lit(0)).cast("bigint")
+    return F.coalesce(F.sum(counted), F.lit(0)).cast(WIDE)
 
 
 def tally(final: DataFrame) -> DataFrame:

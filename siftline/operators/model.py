@@ -13,7 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.config import (
@@ -33,7 +34,7 @@ from siftline.functions.responses import parse_scores, strip_fence
 from siftline.operators.enrich import union_results
 from siftline.operators.ordering import BATCH_ID, ORDINAL, POSITION, assign_batches
 from siftline.operators.rules import score_leads
-from siftline.sources.store import materialize
+from siftline.sources.store import materialize, new_path
 
 # Asks a model: prompt in, response text out. Any exception makes its batch a failed one.
 Scorer = Callable[[str], str]
@@ -43,6 +44,11 @@ ScorerFactory = Callable[[], Scorer]
 LEADS_SCHEMA = f"array<struct<{ID}:string,{NEED}:string>>"
 BAD_RESPONSE = "the response is not a JSON list of objects"
 
+# Model calls at a time unless the caller says otherwise; it does not follow the size of the table.
+CONCURRENCY = 8
+# Requests whose answers are written together. A run that dies loses the answers of one wave at most.
+WAVE = 2_000
+
 OK = "ok"
 FALLBACK = "fallback"
 
@@ -67,18 +73,14 @@ def render_prompt(payload: Column, rubric: Rubric = DEFAULT_RUBRIC) -> Column:
 
 
 def build_requests(
-    batches: DataFrame, rubric: Rubric = DEFAULT_RUBRIC, partitions: int | None = None
+    batches: DataFrame, rubric: Rubric = DEFAULT_RUBRIC
 ) -> DataFrame:
     """One row per batch: batch_id, n_leads, payload, prompt. A batch is a bounded group.
 
-    The rows move once, whole: a list has nothing to combine before the shuffle. The number of
-    partitions is fixed, because it is the number of model calls at a time; adaptive execution
-    would merge them by size, and a list of short prompts would be asked one after the other.
+    The rows move once, whole: a list has nothing to combine before the shuffle.
     """
-    if not partitions:
-        partitions = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct(POSITION, ID, NEED)
-    grouped = batches.repartition(partitions, BATCH_ID).groupBy(BATCH_ID).agg(
+    grouped = batches.groupBy(BATCH_ID).agg(
         F.count("*").alias("n_leads"),
         F.sort_array(F.collect_list(place)).alias("_leads"),
     )
@@ -129,17 +131,41 @@ def call_scorer(
     requests: DataFrame,
     make_scorer: ScorerFactory,
     path: str | None = None,
-    concurrency: int | None = None,
+    concurrency: int = CONCURRENCY,
+    wave: int = WAVE,
 ) -> DataFrame:
-    """Ask the model once per request and write the answers: batch_id, n_leads, payload,
-    response, error.
+    """Ask the model once per request and write the answers: batch_id, n_leads, payload, response,
+    error, and the parsed ``records``.
 
-    Every partition of the requests is one line of calls; ``concurrency`` sets their number
-    anew, at the price of a shuffle.
+    ``requests`` is a written table. It is asked in waves of consecutive batches, ``concurrency``
+    calls at a time; each wave is written before the next one starts. Batches that ``path`` has an
+    answer of are not asked again, so a run that died is taken up where it stopped by naming
+    its path.
     """
-    if concurrency:
-        requests = requests.repartition(concurrency, BATCH_ID)
-    return materialize(ask_model(requests, make_scorer), path, name="responses")
+    spark = requests.sparkSession
+    path = path or new_path(spark, "responses")
+    bounds = requests.agg(F.min(BATCH_ID).alias("low"), F.max(BATCH_ID).alias("high")).first()
+    done = _answered(spark, path)
+    for start in range(bounds["low"], bounds["high"] + 1, wave) if bounds["low"] is not None else ():
+        part = requests.where(F.col(BATCH_ID).between(start, start + wave - 1))
+        if done is not None:
+            part = part.join(done.select(BATCH_ID), BATCH_ID, "left_anti")
+            if part.isEmpty():
+                continue
+        asked = parse_responses(ask_model(part.repartition(concurrency, BATCH_ID), make_scorer))
+        asked.write.mode("append").parquet(path)
+    found = _answered(spark, path)
+    if found is None:
+        parse_responses(ask_model(requests, make_scorer)).write.parquet(path)
+        found = spark.read.parquet(path)
+    return found
+
+
+def _answered(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -184,9 +210,13 @@ def batch_report(parsed: DataFrame) -> DataFrame:
 EMPTY_REPORT = f"{BATCH_ID} bigint, n_leads bigint, status string, error string"
 
 
-def run_fallback(leads: DataFrame, rules: RuleBook = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
-    """Rule scores for all leads and an empty report."""
-    return score_leads(leads, rules), leads.sparkSession.createDataFrame([], EMPTY_REPORT)
+def run_fallback(
+    leads: DataFrame, rules: RuleBook = DEFAULT_RULES, error: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rule scores for all leads; the report is empty, or tells why no model was asked in a row
+    without a batch."""
+    rows = [(None, None, FALLBACK, error)] if error else []
+    return score_leads(leads, rules), leads.sparkSession.createDataFrame(rows, EMPTY_REPORT)
 
 
 def score_with_model(
@@ -201,7 +231,7 @@ def score_with_model(
     concurrency: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Score rows from the model and a report per batch. ``concurrency`` is the number of model
-    calls at a time.
+    calls at a time, ``path`` the folder of the answers (see ``call_scorer``).
 
     Rules score a failed batch. They score all leads when there is no scorer, when it cannot be
     set up, or when no response names any lead.
@@ -210,17 +240,16 @@ def score_with_model(
         return run_fallback(leads, rules)
     try:
         make_scorer()
-    except Exception:
-        return run_fallback(leads, rules)
+    except Exception as e:
+        return run_fallback(leads, rules, f"{type(e).__name__}: {e}")
 
     # Only what the model sees is numbered and shuffled, not the whole lead table.
     order = [ORDINAL] if ORDINAL in leads.columns else order_by or []
     narrow = prune_for_model(leads, *[c for c in order if c not in (ID, NEED)])
     batches = assign_batches(narrow, order_by, batch_size, unique)
-    requests = build_requests(batches, rubric, concurrency)
+    requests = materialize(build_requests(batches, rubric), name="requests")
     # Answers and what they parse to are written together: each is asked and parsed once.
-    answers = parse_responses(ask_model(requests, make_scorer))
-    parsed = materialize(answers, path, name="responses")
+    parsed = call_scorer(requests, make_scorer, path, concurrency or CONCURRENCY)
     scored = union_results(flatten_scores(parsed), batch_fallback(parsed, rules))
     report = batch_report(parsed)
     if scored.where(F.col(ID).isNotNull()).isEmpty():

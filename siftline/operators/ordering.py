@@ -21,64 +21,72 @@ _FILE = "_file"
 _FILE_ROW = "_file_row"
 TIE = "_tie"
 
-# A list of files is broadcast up to this many entries (a path and a number each).
-BROADCAST_FILES = 500_000
+_BLOCK = "_block"
 
 
-def with_file_position(table: DataFrame, whole_files: bool = True) -> DataFrame:
-    """``table`` with the file and the row in the file that each row was read from.
-
-    Anything but a parquet scan with projections (and filters, where not ``whole_files``) is
-    written first: joined or multiplied rows share positions. Positions in written files stay the
-    same when a task is run again, which numbers made up while a job runs do not.
-    """
-    position = [
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.row_index").alias(_FILE_ROW),
-    ]
-    if is_scan(table, whole_files):
-        try:
-            return table.select("*", *position)
-        except AnalysisException:
-            pass  # files of another format have no row numbers
-    return materialize(table, name="positions").select("*", *position)
+class NoStoredOrder(ValueError):
+    """Rows that were not read from files have no order but one by named columns."""
 
 
-def is_scan(table: DataFrame, whole_files: bool = True) -> bool:
-    """Whether ``table`` is a file scan with nothing but projections (and filters) on top."""
-    plan = table._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() == "Project" or (plan.nodeName() == "Filter" and not whole_files):
-        plan = plan.children().apply(0)
-    return plan.nodeName() == "LogicalRelation"
+def with_file_position(table: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``table`` with the place each row was read from, and the names of the columns that hold it.
 
-
-def with_tie_break(table: DataFrame) -> DataFrame:
-    """``table`` with a number in ``_tie`` that tells equal rows apart and never changes."""
-    placed = with_file_position(table, whole_files=False)
-    return placed.withColumn(TIE, F.xxhash64(_FILE, _FILE_ROW)).drop(_FILE, _FILE_ROW)
+    Parquet knows the row's number in its file. Rows of other files are written once, with the file,
+    the block of it and the order in which the task read them; so the numbers cannot change
+    when a task is run again. Filters and projections keep the place. Rows of a join come from the
+    place of its first files, if any; aggregates and rows made up have none and raise
+    ``NoStoredOrder``.
+    """
+    file = F.col("_metadata.file_path").alias(_FILE)
+    try:
+        return table.select("*", file, F.col("_metadata.row_index").alias(_FILE_ROW)), [_FILE, _FILE_ROW]
+    except AnalysisException:
+        pass  # no files, or files whose rows have no number
+    try:
+        read = table.select("*", file, F.col("_metadata.file_block_start").alias(_BLOCK))
+    except AnalysisException as e:
+        raise NoStoredOrder("the rows have no stored order: name order_by") from e
+    placed = read.withColumn(_FILE_ROW, F.monotonically_increasing_id())
+    return materialize(placed, name="read"), [_FILE, _BLOCK, _FILE_ROW]
+
+
+def with_tie_break(table: DataFrame, written: bool = False) -> DataFrame:
+    """``table`` with a number in ``_tie`` that tells equal rows apart and never changes. It is
+    written first, unless it is a written table as it stands."""
+    placed, where = with_file_position(table if written else materialize(table, name="ties"))
+    return placed.withColumn(TIE, F.xxhash64(*where)).drop(*where)
 
 
 def number_by_file(table: DataFrame, name: str = ORDINAL) -> DataFrame:
     """Number rows 1..n in the order they are stored: by file name, then by row in the file.
 
-    No sort and no shuffle of the rows. Rows per file come from a scan without data columns; the
-    running total goes over one row per file. Rows that were filtered, joined or multiplied after
-    the scan are written first: only whole files have rows 0..n-1.
+    Whole parquet files are neither sorted nor shuffled: rows per file come from a scan without
+    data columns, and a running total goes over one row a file. Where rows are missing or
+    multiplied (a filter, a path given twice), or files of another kind were read, the rows are
+    sorted by their place; rows of the same place stand side by side in any order.
     """
-    placed = with_file_position(table)
-    sizes = placed.groupBy(_FILE).agg(F.count("*").alias("_n"))
+    placed, where = with_file_position(table)
+    if where != [_FILE, _FILE_ROW]:
+        return number_rows(placed, [F.col(c).asc() for c in where], name, unique=True).drop(*where)
+    sizes = placed.groupBy(_FILE).agg(
+        F.count("*").alias("_n"), (F.max(_FILE_ROW) + 1).alias("_rows"), F.sum(F.col(_FILE_ROW).cast("decimal(38,0)")).alias("_sum")
+    )
+    sizes = materialize(sizes, name="files")
+    whole = (F.col("_n") == F.col("_rows")) & (F.col("_sum") * 2 == F.col("_n").cast("decimal(19,0)") * (F.col("_n") - 1))
+    if not sizes.where(~whole).isEmpty():
+        return number_rows(placed, [F.col(c).asc() for c in where], name, unique=True).drop(*where)
     by_name = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(_FILE, F.coalesce(F.sum("_n").over(by_name), F.lit(0)).alias("_before"))
-    if len(placed.inputFiles()) <= BROADCAST_FILES:
-        before = F.broadcast(before)
     numbered = placed.join(before, _FILE)
-    return numbered.withColumn(name, F.col("_before") + F.col(_FILE_ROW) + 1).drop(
-        _FILE, _FILE_ROW, "_before"
-    )
+    return numbered.withColumn(name, F.col("_before") + F.col(_FILE_ROW) + 1).drop(*where, "_before")
 
 
 def number_rows(
-    table: DataFrame, order_by: list[Column], name: str = ORDINAL, unique: bool = False
+    table: DataFrame,
+    order_by: list[Column],
+    name: str = ORDINAL,
+    unique: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Number rows 1..n in the given order without one task that sees all rows.
 
@@ -91,7 +99,7 @@ def number_rows(
     """
     spark = table.sparkSession
     if not unique:
-        table = with_tie_break(table)
+        table = with_tie_break(table, written)
         order_by = [*order_by, F.col(TIE).asc()]
     ordered = table.repartitionByRange(*order_by).sortWithinPartitions(*order_by).drop(TIE)
     placed = ordered.withColumns(

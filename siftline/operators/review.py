@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from siftline.config import CLASS, CLASSES, COPIES, ID, NAME, NEED, PHONE, REASON, SCORE
 from siftline.functions.repair import (
+    LONG_LIMIT,
     coerce_class,
     coerce_score,
     fill_reason,
@@ -17,13 +18,15 @@ from siftline.functions.repair import (
 from siftline.operators.enrich import COPY_NO, expand_copies
 from siftline.operators.ordering import TIE, number_rows, with_tie_break
 from siftline.sources.handover import ROW_ID
-from siftline.sources.store import materialize, small_side
+from siftline.sources.store import materialize
 
 OP = "op"
 EDIT_SEQ = "edit_seq"
 UPDATE = "update"
 DELETE = "delete"
 INSERT = "insert"
+# Names of the cells of an update that are to be emptied.
+CLEARED = "cleared"
 LOCKED = (ID, NEED)
 
 
@@ -38,26 +41,27 @@ def score_order(final: DataFrame) -> list[Column]:
     return [*order, F.col(ID).asc_nulls_last()] if ID in final.columns else order
 
 
-def spread_copies(final: DataFrame) -> tuple[DataFrame, list[Column]]:
+def spread_copies(final: DataFrame, written: bool = False) -> tuple[DataFrame, list[Column]]:
     """The full table with an order that puts equal rows apart, so that a score or an id shared
-    by very many rows can be cut anywhere, and the helper columns to drop: ``_tie``, ``_copy``."""
-    placed = with_tie_break(final)
+    by very many rows can be cut anywhere, and the helper columns to drop: ``_tie``, ``_copy``.
+    ``written`` says that ``final`` is a written table as it stands."""
+    placed = with_tie_break(final, written)
     order = [*score_order(final), F.col(TIE).asc()]
     if COPIES not in placed.columns:
         return placed, order
     return expand_copies(placed, numbered=True, spread=True), [*order, F.col(COPY_NO).asc()]
 
 
-def review_order(final: DataFrame) -> DataFrame:
+def review_order(final: DataFrame, written: bool = False) -> DataFrame:
     """The full table sorted for review."""
-    full, order = spread_copies(final)
+    full, order = spread_copies(final, written)
     return full.orderBy(*order).drop(TIE, COPY_NO)
 
 
-def number_for_review(final: DataFrame) -> DataFrame:
+def number_for_review(final: DataFrame, written: bool = False) -> DataFrame:
     """The full table with ``row_id`` 1..n in review order. Edits refer to rows by it, since an
     id may stand in several rows."""
-    full, order = spread_copies(final)
+    full, order = spread_copies(final, written)
     return number_rows(full, order, ROW_ID, unique=True).drop(TIE, COPY_NO)
 
 
@@ -77,18 +81,48 @@ def repair_for_review(final: DataFrame) -> DataFrame:
     )
 
 
-def validate_edits(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edits that may be applied, and the others with the reason in ``rejected``."""
-    score = F.col(SCORE)
-    number = parse_number(score)
+def validate_edits(edits: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edits of ``review`` that may be applied, and the others with the reason in ``rejected``.
+
+    Only columns that are there are checked. Rejected are: operations and classes that are none,
+    updates and deletes without a row or of a row that the review table has not, scores that are no
+    64-bit whole number, values that do not fit the type of their column, updates of locked
+    columns, and, where no ``edit_seq`` orders them, updates of a row that give a cell two
+    values.
+    """
+    types = dict(review.dtypes)
+    given = [c for c in edits.columns if c in types and c != ROW_ID]
+    change = F.coalesce(F.col(OP).isin(UPDATE, DELETE), F.lit(False))
+    update = F.coalesce(F.col(OP) == UPDATE, F.lit(False))
     checks = [
         (~F.coalesce(F.col(OP).isin(UPDATE, DELETE, INSERT), F.lit(False)), "unknown operation"),
-        ((F.col(OP) != INSERT) & F.col(ROW_ID).isNull(), "no row"),
-        (score.isNotNull() & (number.isNull() | (number != F.floor(number))), "score is no integer"),
-        (F.col(CLASS).isNotNull() & ~F.col(CLASS).isin(*CLASSES), "unknown class"),
+        (change & F.col(ROW_ID).isNull(), "no row"),
+        (change & F.col("_there").isNull(), "unknown row"),
     ]
+    if SCORE in edits.columns:
+        score = F.col(SCORE)
+        number = parse_number(score)
+        whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < LONG_LIMIT), F.lit(False))
+        checks.append((score.isNotNull() & ~whole, "score is no integer"))
+    if CLASS in edits.columns:
+        checks.append((F.col(CLASS).isNotNull() & ~F.col(CLASS).isin(*CLASSES), "unknown class"))
+    locked = [c for c in given if c in LOCKED]
+    if locked:
+        touched = F.coalesce(*[F.col(c).cast("string") for c in locked]).isNotNull()
+        checks.append((update & touched, "locked column"))
+    for c in given:
+        if c not in (SCORE, CLASS) and types[c] != "string":
+            checks.append((F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull(), f"unreadable {c}"))
+    table = edits.join(review.select(ROW_ID, F.lit(True).alias("_there")).distinct(), ROW_ID, "left")
+    if EDIT_SEQ not in edits.columns and (cells := [c for c in given if c not in LOCKED]):
+        two = F.lit(False)
+        for c in cells:
+            two = two | F.coalesce(F.min(c) != F.max(c), F.lit(False))
+        twice = edits.where(update).groupBy(ROW_ID).agg(two.alias("_two"))
+        table = table.join(twice.where("_two"), ROW_ID, "left")
+        checks.append((update & F.coalesce("_two", F.lit(False)), "two values and no order"))
     found = F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks])
-    checked = edits.withColumn("rejected", found)
+    checked = table.withColumn("rejected", found).select(*edits.columns, "rejected")
     valid = checked.where(F.col("rejected").isNull()).drop("rejected")
     return valid, checked.where(F.col("rejected").isNotNull())
 
@@ -97,9 +131,13 @@ def one_edit_per_row(edits: DataFrame, columns: list[str]) -> DataFrame:
     """Updates and deletes with one row per ``row_id``: a delete wins, else the last value given
     for each cell (by ``edit_seq`` where there is one). Combines map-side."""
     seq = F.col(EDIT_SEQ) if EDIT_SEQ in edits.columns else F.lit(0)
+    clears = CLEARED in edits.columns
 
     def last(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(seq, F.col(c))))
+        """The last value, or NULL in a struct for a cell that was emptied after it."""
+        empty = F.coalesce(F.array_contains(CLEARED, c), F.lit(False)) if clears else F.lit(False)
+        value = F.struct(F.when(~empty, F.col(c)).alias("value"))
+        return F.max_by(value, F.when(empty | F.col(c).isNotNull(), F.struct(seq, ~empty, F.col(c))))
 
     return (
         edits.where(F.col(OP).isin(UPDATE, DELETE))
@@ -117,24 +155,38 @@ def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
     A cell of an update that is NULL leaves the value as it is. ``id`` and the description are
     locked: updates do not touch them.
 
-    One left join brings updates and deletes. Their table is written and counted first: few edits
-    are broadcast and the review table stays where it is; many are shuffled like any other join.
+    A column named in ``cleared`` (an array of names) becomes NULL. One left join brings updates and
+    deletes; their table is written first, so that Spark broadcasts it if it is small. Numbers
+    given as text (``50.0``, ``1e2``) are taken by their value.
     """
     editable = [
-        c for c in review.columns if c not in (*LOCKED, ROW_ID) and c in edits.columns
+        c
+        for c in review.columns
+        if c not in (*LOCKED, ROW_ID) and (c in edits.columns or CLEARED in edits.columns)
     ]
-    changes = materialize(one_edit_per_row(edits, editable), name="edits")
-    joined = review.join(small_side(changes, changes.count()), ROW_ID, "left").where(~F.coalesce("_deleted", F.lit(False)))
     types = dict(review.dtypes)
+
+    def typed(c: str) -> Column:
+        if c not in edits.columns:
+            return F.lit(None).cast(types[c])
+        if c == SCORE and types[c] != "string":
+            return parse_number(F.col(c)).cast(types[c])
+        return F.col(c).cast(types[c])
+
+    taken = edits.withColumns({c: typed(c) for c in editable}) if editable else edits
+    changes = materialize(one_edit_per_row(taken, editable), name="edits")
+    joined = review.join(changes, ROW_ID, "left").where(~F.coalesce("_deleted", F.lit(False)))
     kept = joined.select(
         *[
-            F.coalesce(F.col(f"_new_{c}").cast(types[c]), F.col(c)).alias(c) if c in editable else c
+            F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.value")).otherwise(F.col(c)).alias(c)
+            if c in editable
+            else c
             for c in review.columns
         ]
     )
-    new = edits.where(F.col(OP) == INSERT).select(
+    new = taken.where(F.col(OP) == INSERT).select(
         *[
-            (F.col(c) if c in edits.columns and c != ROW_ID else F.lit(None)).cast(types[c]).alias(c)
+            (F.col(c) if c in taken.columns and c != ROW_ID else F.lit(None)).cast(types[c]).alias(c)
             for c in review.columns
         ]
     )

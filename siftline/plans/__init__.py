@@ -1,3 +1,9 @@
-from siftline.plans.triage import dashboard, review_and_export, run_pipeline
+from siftline.plans.triage import (
+    dashboard,
+    export_result,
+    make_review,
+    review_and_export,
+    run_pipeline,
+)
 
-__all__ = ["dashboard", "review_and_export", "run_pipeline"]
+__all__ = ["dashboard", "export_result", "make_review", "review_and_export", "run_pipeline"]

@@ -31,6 +31,7 @@ from siftline.functions import (
     coerce_score,
     fill_reason,
     fill_text,
+    first_keyword,
     format_rate,
     normalize_text,
     parse_scores,
@@ -64,7 +65,7 @@ from siftline.operators.model import (
     score_with_model,
     to_json_payload,
 )
-from siftline.operators.ordering import ensure_id
+from siftline.operators.ordering import ensure_id, number_by_file
 from siftline.operators.review import (
     ROW_ID,
     apply_review_edits,
@@ -74,15 +75,22 @@ from siftline.operators.review import (
     validate_edits,
 )
 from siftline.operators.rules import JUNK_HIT, VIP, add_phrase_hits, score_inline, score_leads
-from siftline.plans.triage import Dashboard, Result, dashboard, review_and_export, run_pipeline
+from siftline.plans.triage import (
+    Dashboard,
+    Result,
+    dashboard,
+    export_result,
+    make_review,
+    review_and_export,
+    run_pipeline,
+)
 from siftline.sources import (
     materialize,
     read_handover,
     read_leads,
     require_rows,
-    row_count,
 )
-from siftline.sources.leads import CSV_WRITE_OPTIONS
+from siftline.sources.leads import CSV_OPTIONS, CSV_WRITE_OPTIONS
 from siftline.sources.store import new_path
 
 VIP_TEST_PHRASES = ("apache", "mit license", "token", "would")
@@ -230,7 +238,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
-    return call_scorer(_requests(spark, sf), stub_scorer())
+    return call_scorer(materialize(_requests(spark, sf)), stub_scorer())
 
 
 def _model_result(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -259,28 +267,32 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
 def review_edits(review: DataFrame) -> DataFrame:
     """Edits of every kind, some of them not allowed, made from the review table itself."""
     row = F.col(ROW_ID)
+    case = row % 20
     kind = (
-        F.when(row % 10 == 0, "delete").when(row % 10 == 1, "update").when(row % 10 == 2, "update")
-        .when(row % 10 == 3, "insert").when(row % 10 == 4, "update").when(row % 10 == 5, "merge")
+        F.when(row % 10 == 0, "delete").when(row % 10 == 3, "insert").when(row % 10 == 5, "merge")
+        .when(row % 10 != 6, "update")
     )
     return (
         review.select(
-            row.alias(ROW_ID),
+            F.when(case == 17, -row).otherwise(row).alias(ROW_ID),
             kind.alias("op"),
-            F.when(kind == "insert", F.concat(F.lit("new-"), F.col(ID))).alias(ID),
+            F.when((kind == "insert") | (case == 18), F.concat(F.lit("new-"), F.col(ID))).alias(ID),
             F.when(row % 10 == 1, F.upper(F.col(NAME))).when(kind == "insert", F.col(NAME)).alias(NAME),
             F.when(kind == "insert", F.col(NEED)).alias(NEED),
-            F.when(row % 10 == 1, "77").when(row % 10 == 4, "1.5").when(kind == "insert", "10").alias(SCORE),
+            F.when(row % 10 == 1, "77").when(row % 10 == 4, "1.5").when(kind == "insert", "10")
+            .when(case == 7, "50.0").when(case == 8, "1e2").when(case == 9, "9000000000")
+            .when(case == 19, "1e19").alias(SCORE),
             F.when(row % 10 == 1, "HOT").when(row % 10 == 2, "Hot").when(kind == "insert", "WARM").alias(CLASS),
             F.when(row % 10 == 1, F.concat(F.lit("seen "), F.col(ID))).alias(REASON),
+            F.when(case == 8, F.array(F.lit(PHONE))).alias("cleared"),
         )
         .where(F.col("op").isNotNull())
     )
 
 
 def _edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    review = repair_for_review(number_for_review(_result(spark, sf).stored))
-    valid, rejected = validate_edits(review_edits(review))
+    review = make_review(_result(spark, sf).stored)
+    valid, rejected = validate_edits(review_edits(review), review)
     return review, valid, rejected
 
 
@@ -294,7 +306,7 @@ def _read_leads_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _row_count(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(row_count(document_leads(spark, sf)),)], "n bigint")
+    return document_leads(spark, sf).agg(F.count("*").alias("n"))
 
 
 def _rule_parts(spark: SparkSession, sf: str, name: str, value: Callable[[], Column]) -> DataFrame:
@@ -347,18 +359,51 @@ def _long_dashboard(board: Dashboard) -> DataFrame:
 def _handover(spark: SparkSession, sf: str, format: str) -> DataFrame:
     stored = _result(spark, sf).stored
     path = new_path(spark, "handover")
-    review_and_export(stored, path, format=format)
-    schema = f"{ID} string, {NAME} string, {PHONE} string, {NEED} string, {SCORE} int, {CLASS} string, {REASON} string"
-    return read_handover(spark, path, schema, format)
+    export_result(stored, path, format)
+    schema = f"{ID} string, {NAME} string, {PHONE} string, {NEED} string, {SCORE} bigint, {CLASS} string, {REASON} string"
+    return number_by_file(read_handover(spark, path, schema, format), "place")
 
 
 def _handover_with_edits(spark: SparkSession, sf: str) -> DataFrame:
-    review, valid, _ = _edits(spark, sf)
+    review = make_review(_result(spark, sf).stored)
     path = new_path(spark, "handover")
-    review_and_export(_result(spark, sf).stored, path, review_edits(review))
+    review_and_export(review, path, review_edits(review))
     return spark.read.parquet(path)
 
 
+def _sorted_review(spark: SparkSession, sf: str) -> DataFrame:
+    """The sorted table with the place of each row, as it comes out of a written copy."""
+    ordered = review_order(_gaps(spark, sf)).select(ID, SCORE, CLASS)
+    return number_by_file(materialize(ordered), "place")
+
+
+def _counted(counts: DataFrame) -> DataFrame:
+    """Counts as bigint, which the test tables fit."""
+    return counts.withColumns({c: F.col(c).cast("bigint") for c, t in counts.dtypes if t.startswith("decimal")})
+
+
+def _csv_leads(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as CSV files of very different sizes, whose rows end up in document order: numbered
+    in ranges, so that names follow the order."""
+    path = new_path(spark, "csv")
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("lang").alias(PHONE), F.col("text").alias(NEED))
+    part = F.when(F.col("doc_id") < 3, 0).when(F.col("doc_id") < 150, 1).otherwise(2)
+    spread = docs.withColumn("part", part).repartitionByRange(3, "part").sortWithinPartitions("doc_id").drop("part")
+    spread.write.options(**CSV_WRITE_OPTIONS).csv(path)
+    return spark.read.schema(docs.schema).options(**CSV_OPTIONS).csv(path)
+
+
+def _filtered_leads(spark: SparkSession, sf: str) -> DataFrame:
+    """Some rows of several parquet files."""
+    path = new_path(spark, "parts")
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("lang").alias(PHONE))
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return spark.read.parquet(path).where(F.col(PHONE) == "en")
+
+
+MANY_PHRASES = tuple(f"{a}{b}{c}" for a in "etaoinsh" for b in "etaoinsh" for c in "qzxjkvbp")
+
+
 def _fanout(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     leads = conversation_leads(spark, sf)
     return leads, score_leads(leads, RULES)
@@ -383,8 +428,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sources and sinks
         "read_leads": document_leads,
         "read_leads_csv": _read_leads_csv,
-        "require_rows": lambda s, d: require_rows(document_leads(s, d)).select(ID),
+        "require_rows": lambda s, d: require_rows(document_leads(s, d)),
         "ensure_id": lambda s, d: ensure_id(document_leads_without_id(s, d), ["doc_id"], True).select(ID, "doc_id", PHONE),
+        "ensure_id_csv": lambda s, d: ensure_id(_csv_leads(s, d)).select(ID, "doc_id", PHONE),
+        "ensure_id_filtered": lambda s, d: ensure_id(_filtered_leads(s, d)).select(ID, "doc_id", PHONE),
+        "assign_batches_csv": lambda s, d: assign_batches(_csv_leads(s, d)).select("doc_id", "batch_id", "pos"),
+        "assign_batches_filtered": lambda s, d: assign_batches(_filtered_leads(s, d)).select("doc_id", "batch_id", "pos"),
         "ensure_id_stored_order": lambda s, d: ensure_id(document_leads_without_id(s, d)).select(ID, "doc_id", PHONE),
         "materialize": lambda s, d: materialize(score_inline(document_leads(s, d), RULES)).select(ID, *SCORE_COLUMNS),
         "export_handover": lambda s, d: _handover(s, d, "parquet"),
@@ -393,6 +442,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # projections
         "normalize_text": lambda s, d: document_leads(s, d).select(ID, normalize_text(F.col(NEED)).alias("text")),
         "first_keyword": lambda s, d: _hits(s, d).select(ID, F.col(VIP).alias("vip"), F.col(JUNK_HIT).alias("junk")),
+        "first_keyword_many": lambda s, d: document_leads(s, d).select(
+            ID, first_keyword(normalize_text(F.col(NEED)), MANY_PHRASES).alias("hit")
+        ),
         "rule_score": lambda s, d: _rule_parts(s, d, SCORE, _rule_score),
         "classify": lambda s, d: _rule_parts(s, d, CLASS, lambda: classify(_rule_score(), RULES)),
         "reason_text": lambda s, d: _rule_parts(s, d, REASON, lambda: reason_text(F.col(VIP), F.col(JUNK_HIT), RULES)),
@@ -413,8 +465,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coerce_class": lambda s, d: dirty_final(s, d).select(ID, coerce_class(F.col(CLASS)).alias(CLASS)),
         "fill_reason": lambda s, d: dirty_final(s, d).select(ID, fill_reason(F.col(REASON)).alias(REASON)),
         "repair_for_review": lambda s, d: repair_for_review(dirty_final(s, d)),
-        "display_names": lambda s, d: display_names(score_histogram(_gaps(s, d)), HISTOGRAM_HEADERS),
-        "display_names_distribution": lambda s, d: display_names(class_distribution(kpis(_gaps(s, d))), DISTRIBUTION_HEADERS),
+        "display_names": lambda s, d: display_names(_counted(score_histogram(_gaps(s, d))), HISTOGRAM_HEADERS),
+        "display_names_distribution": lambda s, d: display_names(_counted(class_distribution(kpis(_gaps(s, d)))), DISTRIBUTION_HEADERS),
         "display_names_review": lambda s, d: display_names(repair_for_review(dirty_final(s, d)), REVIEW_HEADERS),
         "format_rate": _rate,
         # join and union
@@ -425,18 +477,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "expand_copies": lambda s, d: expand_copies(enrich_compact(*_fanout(s, d))).groupBy(ID).agg(F.count("*").alias("n")),
         "union_results": lambda s, d: union_results(score_leads(document_leads(s, d), RULES), label_scores(s, d)),
         # dashboard
-        "class_counts": lambda s, d: class_counts(_gaps(s, d)),
-        "kpis": lambda s, d: kpis(_final(s, d)),
-        "kpis_gaps": lambda s, d: kpis(_gaps(s, d)),
-        "kpis_fanout": lambda s, d: kpis(match_counts(*_fanout(s, d))),
-        "class_distribution": lambda s, d: class_distribution(kpis(_gaps(s, d))),
-        "score_histogram": lambda s, d: score_histogram(_gaps(s, d)),
-        "score_histogram_fanout": lambda s, d: score_histogram(match_counts(*_fanout(s, d))),
+        "class_counts": lambda s, d: _counted(class_counts(_gaps(s, d))),
+        "kpis": lambda s, d: _counted(kpis(_final(s, d))),
+        "kpis_gaps": lambda s, d: _counted(kpis(_gaps(s, d))),
+        "kpis_fanout": lambda s, d: _counted(kpis(match_counts(*_fanout(s, d)))),
+        "class_distribution": lambda s, d: _counted(class_distribution(kpis(_gaps(s, d)))),
+        "score_histogram": lambda s, d: _counted(score_histogram(_gaps(s, d))),
+        "score_histogram_fanout": lambda s, d: _counted(score_histogram(match_counts(*_fanout(s, d)))),
         # review
         "review_order": lambda s, d: number_for_review(_gaps(s, d)),
-        "review_order_sorted": lambda s, d: review_order(_gaps(s, d)).select(ID, SCORE, CLASS),
-        "validate_edits": lambda s, d: _edits(s, d)[2],
-        "validate_edits_valid": lambda s, d: _edits(s, d)[1],
+        "review_order_sorted": _sorted_review,
+        "validate_edits": lambda s, d: _edits(s, d)[2].drop("cleared"),
+        "validate_edits_valid": lambda s, d: _edits(s, d)[1].drop("cleared"),
         "apply_review_edits": lambda s, d: apply_review_edits(*_edits(s, d)[:2]),
         # model
         "assign_batches": lambda s, d: assign_batches(
@@ -445,13 +497,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_requests": lambda s, d: _requests(s, d).drop("prompt"),
         "render_prompt": lambda s, d: _requests(s, d).select("batch_id", "prompt"),
         "call_scorer": lambda s, d: _responses(s, d).select("batch_id", "response", "error"),
-        "batch_fallback": lambda s, d: batch_fallback(parse_responses(_responses(s, d)), RULES),
-        "batch_report": lambda s, d: batch_report(parse_responses(_responses(s, d))),
+        "batch_fallback": lambda s, d: batch_fallback(_responses(s, d), RULES),
+        "batch_report": lambda s, d: batch_report(_responses(s, d)),
         "run_fallback": _run_fallback,
         "score_with_model": lambda s, d: _model_result(s, d)[0],
         "score_with_model_report": lambda s, d: _model_result(s, d)[1],
         # whole jobs
-        "triage_kpis": lambda s, d: kpis(_result(s, d).stored),
+        "triage_kpis": lambda s, d: _counted(kpis(_result(s, d).stored)),
         "triage_final": lambda s, d: _result(s, d).final,
         "triage_with_model": _model_final,
         "dashboard": lambda s, d: _long_dashboard(dashboard(_result(s, d).stored)),

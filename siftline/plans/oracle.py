@@ -10,7 +10,7 @@ from siftline.config import (
     NEUTRAL_REASON,
     REVIEW_HEADERS,
 )
-from siftline.plans.catalog import JUNK_TEST_PHRASES, VIP_TEST_PHRASES
+from siftline.plans.catalog import JUNK_TEST_PHRASES, MANY_PHRASES, VIP_TEST_PHRASES
 
 
 def _quote(text: str) -> str:
@@ -89,7 +89,7 @@ NUMBER = r"""CASE WHEN regexp_full_match(score, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][
 
 REPAIRED = f"""SELECT id, coalesce(ten_khach, '') AS ten_khach, coalesce(sdt, '') AS sdt,
     coalesce(nhu_cau_mo_ta, '') AS nhu_cau_mo_ta,
-    CAST(CASE WHEN abs(x) <= 2147483647 THEN trunc(x) ELSE 10 END AS INTEGER) AS score,
+    CAST(CASE WHEN abs(x) < 9223372036854775808 THEN trunc(x) ELSE 10 END AS BIGINT) AS score,
     CASE WHEN classification IN ('HOT', 'WARM', 'JUNK') THEN classification ELSE 'WARM' END AS classification,
     coalesce(reason, {_quote(NEUTRAL_REASON)}) AS reason FROM (SELECT *, {NUMBER} AS x FROM ({DIRTY}))"""
 
@@ -128,31 +128,35 @@ MODEL = f"""{_scored()}, {SHAPES.removeprefix("WITH ")},
     fallback AS (SELECT scored.* FROM scored JOIN placed ON scored.id = CAST(placed.doc_id AS VARCHAR)
             JOIN shapes USING (batch_id) WHERE shape IN (0, 2))"""
 
-HANDOVER = "SELECT id, ten_khach, sdt, nhu_cau_mo_ta, CAST(score AS INTEGER) AS score, classification, reason FROM final"
+HANDOVER = """SELECT id, ten_khach, sdt, nhu_cau_mo_ta, CAST(score AS BIGINT) AS score, classification, reason,
+    CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS BIGINT) AS place FROM final"""
 
 EDITS = f"""{_scored()},
     review AS (SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS BIGINT) AS row_id, id, ten_khach,
-        sdt, nhu_cau_mo_ta, CAST(score AS INTEGER) AS score, classification, reason FROM final),
-    edits AS (SELECT * FROM (SELECT row_id,
-        CASE row_id % 10 WHEN 0 THEN 'delete' WHEN 1 THEN 'update' WHEN 2 THEN 'update' WHEN 3 THEN 'insert'
-            WHEN 4 THEN 'update' WHEN 5 THEN 'merge' END AS op,
-        CASE row_id % 10 WHEN 3 THEN 'new-' || id END AS id,
+        sdt, nhu_cau_mo_ta, CAST(score AS BIGINT) AS score, classification, reason FROM final),
+    edits AS (SELECT * FROM (SELECT CASE row_id % 20 WHEN 17 THEN -row_id ELSE row_id END AS row_id,
+        CASE row_id % 10 WHEN 0 THEN 'delete' WHEN 3 THEN 'insert' WHEN 5 THEN 'merge' WHEN 6 THEN NULL ELSE 'update' END AS op,
+        CASE WHEN row_id % 10 = 3 OR row_id % 20 = 18 THEN 'new-' || id END AS id,
         CASE row_id % 10 WHEN 1 THEN upper(ten_khach) WHEN 3 THEN ten_khach END AS ten_khach,
         CASE row_id % 10 WHEN 3 THEN nhu_cau_mo_ta END AS nhu_cau_mo_ta,
-        CASE row_id % 10 WHEN 1 THEN '77' WHEN 3 THEN '10' WHEN 4 THEN '1.5' END AS score,
+        CASE row_id % 20 WHEN 7 THEN '50.0' WHEN 8 THEN '1e2' WHEN 9 THEN '9000000000' WHEN 19 THEN '1e19'
+            ELSE CASE row_id % 10 WHEN 1 THEN '77' WHEN 3 THEN '10' WHEN 4 THEN '1.5' END END AS score,
         CASE row_id % 10 WHEN 1 THEN 'HOT' WHEN 2 THEN 'Hot' WHEN 3 THEN 'WARM' END AS classification,
-        CASE row_id % 10 WHEN 1 THEN 'seen ' || id END AS reason FROM review) WHERE op IS NOT NULL),
-    checked AS (SELECT *, CASE WHEN op = 'merge' THEN 'unknown operation' WHEN score = '1.5' THEN 'score is no integer'
-        WHEN classification = 'Hot' THEN 'unknown class' END AS rejected FROM edits),
+        CASE row_id % 10 WHEN 1 THEN 'seen ' || id END AS reason,
+        CASE row_id % 20 WHEN 8 THEN 'sdt' END AS cleared FROM review) WHERE op IS NOT NULL),
+    checked AS (SELECT *, CASE WHEN op = 'merge' THEN 'unknown operation' WHEN row_id < 0 THEN 'unknown row'
+        WHEN score IN ('1.5', '1e19') THEN 'score is no integer' WHEN classification = 'Hot' THEN 'unknown class'
+        WHEN op = 'update' AND id IS NOT NULL THEN 'locked column' END AS rejected FROM edits),
     valid AS (SELECT * EXCLUDE (rejected) FROM checked WHERE rejected IS NULL),
     edited AS (
-        SELECT r.row_id, r.id, coalesce(e.ten_khach, r.ten_khach) AS ten_khach, r.sdt, r.nhu_cau_mo_ta,
-            coalesce(CAST(e.score AS INTEGER), r.score) AS score,
+        SELECT r.row_id, r.id, coalesce(e.ten_khach, r.ten_khach) AS ten_khach,
+            CASE WHEN e.cleared IS NULL THEN r.sdt END AS sdt, r.nhu_cau_mo_ta,
+            coalesce(CAST(CAST(e.score AS DOUBLE) AS BIGINT), r.score) AS score,
             coalesce(e.classification, r.classification) AS classification, coalesce(e.reason, r.reason) AS reason
         FROM review r LEFT JOIN valid e ON r.row_id = e.row_id AND e.op IN ('update', 'delete')
         WHERE e.op IS NULL OR e.op <> 'delete'
         UNION ALL
-        SELECT NULL, id, ten_khach, NULL, nhu_cau_mo_ta, CAST(score AS INTEGER), classification, reason
+        SELECT NULL, id, ten_khach, NULL, nhu_cau_mo_ta, CAST(score AS BIGINT), classification, reason
         FROM valid WHERE op = 'insert')"""
 
 SCORED_COLUMNS = "id, score, classification, reason"
@@ -171,9 +175,14 @@ def oracle_sql() -> dict[str, str]:
         # sources and sinks
         "read_leads": leads,
         "read_leads_csv": leads,
-        "require_rows": f"SELECT id FROM ({LEADS['documents']})",
+        "require_rows": leads,
         "ensure_id": numbered,
         "ensure_id_stored_order": numbered,
+        "ensure_id_csv": numbered,
+        "ensure_id_filtered": f"{numbered} WHERE lang = 'en'",
+        "assign_batches_csv": f"{PLACED} SELECT doc_id, batch_id, pos FROM placed",
+        "assign_batches_filtered": f"""{PLACED.replace("FROM documents", "FROM documents WHERE lang = 'en'")}
+            SELECT doc_id, batch_id, pos FROM placed""",
         "materialize": f"{docs} SELECT {SCORED_COLUMNS} FROM scored",
         "export_handover": f"{docs} {HANDOVER}",
         "export_handover_csv": f"{docs} {HANDOVER}",
@@ -181,6 +190,8 @@ def oracle_sql() -> dict[str, str]:
         # projections
         "normalize_text": f"SELECT id, lower(coalesce(nhu_cau_mo_ta, '')) AS text FROM ({LEADS['documents']})",
         "first_keyword": f"{docs} SELECT id, vip, junk FROM hits",
+        "first_keyword_many": f"""SELECT id, {_first(MANY_PHRASES)} AS hit
+            FROM (SELECT id, lower(coalesce(nhu_cau_mo_ta, '')) AS t FROM ({LEADS['documents']}))""",
         "rule_score": f"{docs} SELECT id, CAST(score AS INTEGER) AS score FROM wide",
         "classify": f"{docs} SELECT id, classification FROM wide",
         "reason_text": f"{docs} SELECT id, reason FROM wide",
@@ -225,9 +236,10 @@ def oracle_sql() -> dict[str, str]:
         # review
         "review_order": f"""{GAPS} SELECT *,
             CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS BIGINT) AS row_id FROM final""",
-        "review_order_sorted": f"{GAPS} SELECT id, score, classification FROM final ORDER BY score DESC NULLS LAST, id",
-        "validate_edits": f"{EDITS} SELECT * FROM checked WHERE rejected IS NOT NULL",
-        "validate_edits_valid": f"{EDITS} SELECT * FROM valid",
+        "review_order_sorted": f"""{GAPS} SELECT id, score, classification,
+            CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS BIGINT) AS place FROM final""",
+        "validate_edits": f"{EDITS} SELECT row_id, op, id, ten_khach, nhu_cau_mo_ta, score, classification, reason, rejected FROM checked WHERE rejected IS NOT NULL",
+        "validate_edits_valid": f"{EDITS} SELECT row_id, op, id, ten_khach, nhu_cau_mo_ta, score, classification, reason FROM valid",
         "apply_review_edits": f"{EDITS} SELECT * FROM edited",
         # model
         "assign_batches": f"{PLACED} SELECT doc_id, batch_id, pos FROM placed",

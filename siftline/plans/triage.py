@@ -17,7 +17,13 @@ from siftline.config import (
     Rubric,
     RuleBook,
 )
-from siftline.operators.enrich import COPY_NO, enrich_compact, expand_copies, score_and_enrich
+from siftline.operators.enrich import (
+    COPY_NO,
+    enrich_compact,
+    expand_copies,
+    match_counts,
+    score_and_enrich,
+)
 from siftline.operators.metrics import (
     class_counts,
     class_distribution,
@@ -37,22 +43,37 @@ from siftline.operators.review import (
 from siftline.operators.rules import reject_score_columns, score_inline
 from siftline.sources.handover import arrange, export_handover
 from siftline.sources.leads import require_rows
-from siftline.sources.session import estimated_bytes, size_shuffles
-from siftline.sources.store import materialize
+from siftline.sources.store import kept_path, materialize, scratch
 
 
 @dataclass(frozen=True)
 class Result:
-    """``stored``: the written table, one row per lead and different score row, with the number
-    of copies. ``report``: one row per model batch, or None when only rules were used."""
+    """What a run keeps.
+
+    With rules, ``stored`` is the written join: one row per lead and different score row, with the
+    number of copies. With a model, which may give the leads of one id as many different score
+    rows as there are leads, ``stored`` are the leads and ``scores`` the score rows, both
+    written; pairs are made only where they are asked for. ``report`` has one row per model batch.
+    """
 
     stored: DataFrame
     report: DataFrame | None = None
+    scores: DataFrame | None = None
+
+    @property
+    def compact(self) -> DataFrame:
+        """The join with the number of copies of each row."""
+        return self.stored if self.scores is None else enrich_compact(self.stored, self.scores)
+
+    @property
+    def counts(self) -> DataFrame:
+        """What the dashboard needs: rows per score and class, from counts per id."""
+        return self.stored if self.scores is None else match_counts(self.stored, self.scores)
 
     @property
     def final(self) -> DataFrame:
         """Every row of the left join."""
-        return expand_copies(self.stored, spread=True)
+        return expand_copies(self.compact, spread=self.scores is None)
 
 
 def run_pipeline(
@@ -66,33 +87,39 @@ def run_pipeline(
     batch_size: int = BATCH_SIZE,
     concurrency: int | None = None,
     path: str | None = None,
+    responses: str | None = None,
 ) -> Result:
-    """Score a lead table and keep the result.
+    """Score a lead table and keep the result; what it writes on the way is deleted.
+
+    ``responses`` names the folder of the model's answers. A run that finds answers there asks only
+    for the batches that have none.
 
     ``inline=True`` says that ids are unique: rule scores then need no join, nor the look at the
     id column that finds repeated ids. Numbered ids always are, so a table without ``id`` takes
     that way by itself.
     """
     leads = reject_score_columns(require_rows(leads), RESERVED)
-    size_shuffles(leads.sparkSession, estimated_bytes(leads))
+    spark = leads.sparkSession
     numbered = ID not in leads.columns
-    leads = ensure_id(leads, order_by, unique_order)
-    if inline is None:
-        inline = numbered
-
-    if make_scorer is None and inline:
-        stored = score_inline(leads, rules).withColumn(COPIES, F.lit(1).cast("bigint"))
-        return Result(materialize(stored, path, name="final"))
-    if make_scorer is None:
-        stored = score_and_enrich(leads, rules)
-        return Result(materialize(stored, path, name="final"))
-    batched = leads.withColumn(ORDINAL, F.col(ID).cast("bigint")) if numbered else leads
-    scored, report = score_with_model(
-        batched, make_scorer, order_by, rules, rubric, batch_size, unique_order,
-        concurrency=concurrency,
-    )
-    stored = enrich_compact(leads, scored)
-    return Result(materialize(stored, path, name="final"), report)
+    with scratch(spark):
+        leads = ensure_id(leads, order_by, unique_order)
+        path = path or kept_path(spark, "final")
+        if make_scorer is None:
+            if numbered if inline is None else inline:
+                stored = score_inline(leads, rules).withColumn(COPIES, F.lit(1).cast("bigint"))
+            else:
+                stored = score_and_enrich(leads, rules)
+            return Result(materialize(stored, path))
+        batched = leads.withColumn(ORDINAL, F.col(ID).cast("bigint")) if numbered else leads
+        scored, report = score_with_model(
+            batched, make_scorer, order_by, rules, rubric, batch_size, unique_order,
+            path=responses, concurrency=concurrency,
+        )
+        return Result(
+            materialize(leads, path),
+            materialize(report, kept_path(spark, "report")),
+            materialize(scored, kept_path(spark, "scored")),
+        )
 
 
 @dataclass(frozen=True)
@@ -110,20 +137,35 @@ def dashboard(stored: DataFrame) -> Dashboard:
     return Dashboard(row, class_counts(counts), class_distribution(row), score_histogram(counts))
 
 
+def make_review(stored: DataFrame, path: str | None = None) -> DataFrame:
+    """The written review table: numbered, repaired and in review order. This is what reviewers see
+    and what their edits refer to; it is made once. ``stored`` is the kept result, as written."""
+    spark = stored.sparkSession
+    with scratch(spark):
+        review = repair_for_review(number_for_review(stored, written=True))
+        return materialize(review, path or kept_path(spark, "review"))
+
+
+def export_result(stored: DataFrame, path: str, format: str = "parquet") -> str:
+    """The hand-over without a review: from the kept result to the files in one range shuffle."""
+    full, order = spread_copies(stored, written=True)
+    return export_handover(repair_for_review(arrange(full, order)).drop(TIE, COPY_NO), path, format, arranged=True)
+
+
 def review_and_export(
-    stored: DataFrame, path: str, edits: DataFrame | None = None, format: str = "parquet"
+    review: DataFrame, path: str, edits: DataFrame | None = None, format: str = "parquet"
 ) -> DataFrame | None:
-    """Order for review, repair, apply edits, write. Returns the rejected edits, if any were given.
+    """Apply the edits to the written review table and write the hand-over, in the order of the
+    review. Returns the rejected edits, written, if any edits were given.
 
-    Without edits no row numbers are needed, and the table goes from the kept result to the
-    hand-over files in one range shuffle.
+    Rows keep the numbers that the reviewers saw, wherever the table lies now. The one shuffle of
+    whole rows is the one that puts them in order for the files.
     """
     if edits is None:
-        full, order = spread_copies(stored)
-        review = repair_for_review(arrange(full, order)).drop(TIE, COPY_NO)
-        export_handover(review, path, format, arranged=True)
+        export_handover(review, path, format)
         return None
-    review = repair_for_review(number_for_review(stored))
-    valid, rejected = validate_edits(edits)
-    export_handover(apply_review_edits(review, valid), path, format)
-    return rejected
+    spark = review.sparkSession
+    with scratch(spark):
+        valid, rejected = validate_edits(edits, review)
+        export_handover(apply_review_edits(review, valid), path, format)
+        return materialize(rejected, kept_path(spark, "rejected"))

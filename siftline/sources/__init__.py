@@ -1,6 +1,6 @@
 from siftline.sources.handover import export_handover, read_handover
 from siftline.sources.leads import EmptyLeads, read_leads, require_rows, row_count
-from siftline.sources.session import build_session, size_shuffles
+from siftline.sources.session import build_session
 from siftline.sources.store import materialize, shared_dir
 
 __all__ = [
@@ -13,5 +13,4 @@ __all__ = [
     "require_rows",
     "row_count",
     "shared_dir",
-    "size_shuffles",
 ]

@@ -1,18 +1,16 @@
-"""Session settings that fit the size of the data."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
-
-SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
-UNKNOWN_SIZE = 1 << 60
+from pyspark.sql import SparkSession
 
 
 def build_session(name: str = "siftline", master: str | None = None, **settings) -> SparkSession:
-    """Session with adaptive execution, skew handling and UTC times."""
+    """Session with adaptive execution, skew handling and UTC times.
+
+    Name ``spark.checkpoint.dir`` (a folder all executors reach) and, for large tables, enough
+    ``spark.sql.shuffle.partitions``; adaptive execution merges what is too many.
+    """
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -25,29 +23,3 @@ def build_session(name: str = "siftline", master: str | None = None, **settings)
     for key, value in {**base, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def size_shuffles(
-    spark: SparkSession, input_bytes: int, target_bytes: int = SHUFFLE_PARTITION_BYTES
-) -> int:
-    """Raise ``spark.sql.shuffle.partitions`` so that a shuffle of the whole input gives
-    partitions of about ``target_bytes``. Never lowers it: adaptive execution merges small
-    partitions on its own, but cannot add any to a shuffle that has too few."""
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes / target_bytes))
-    if wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return max(current, wanted)
-
-
-def estimated_bytes(table: DataFrame) -> int:
-    """Size of the files and tables that ``table`` reads, by Catalyst's statistics.
-
-    Summed over the scans: the estimate for a whole plan multiplies the sides of a join. Scans
-    of unknown size, which Spark takes for endless, do not count.
-    """
-    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [
-        int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())
-    ]
-    return sum(size for size in sizes if size < UNKNOWN_SIZE)

@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Tables are broadcast up to this many rows. Their files may be far smaller than their rows.
-BROADCAST_ROWS = 100_000
 
 SHARED_DIR = "spark.checkpoint.dir"
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
 
-    Only a local session without that setting gets a folder of its own.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it."""
     path = spark.conf.get(SHARED_DIR, None)
-    if path:
-        return path.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not path:
         raise ValueError(f"set {SHARED_DIR} to a folder that all executors can reach")
-    path = tempfile.mkdtemp(prefix="siftline-")
-    spark.conf.set(SHARED_DIR, path)
-    return path
+    return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet: in the run's own folder inside ``scratch``, else beside it."""
+    return f"{_run.get() or shared_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}"
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new folder that outlives the run."""
     return f"{shared_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside go to one folder, which is deleted at the end. Whatever is to stay
+    is written to a path of its own. Runs inside a run share its folder."""
+    if _run.get():
+        yield _run.get()
+        return
+    path = kept_path(spark, "run")
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(table: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
     """Write ``table`` as parquet and return the written table.
 
@@ -43,9 +59,3 @@ def materialize(table: DataFrame, path: str | None = None, name: str = "table")
     path = path or new_path(spark, name)
     table.write.mode("errorifexists").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
-
-
-def small_side(table: DataFrame, rows: int) -> DataFrame:
-    """A written table as one side of a join: broadcast if its counted rows are few, else kept out
-    of any broadcast, so that both sides are shuffled and adaptive execution splits hot keys."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -57,11 +58,11 @@ def main() -> int:
         "oracle", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
            "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1",
-           "spark.ui.showConsoleProgress": "false"},
+           "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="siftline-")},
     )
     spark.sparkContext.setLogLevel("OFF")
     db, queries, sqls = connect(sf_dir), spark_entry.queries(), spark_entry.oracle_sql()
-    names, bad = sys.argv[2:] or list(queries), 0
+    names, bad = sys.argv[2:] or list(sqls), 0
     print("without SQL:", sorted(set(queries) - set(sqls)), "SQL only:", sorted(set(sqls) - set(queries)))
     for name in names:
         start = time.time()

@@ -21,6 +21,7 @@ from siftline.operators.model import (
     score_with_model,
 )
 from siftline.operators.rules import score_leads
+from siftline.sources import materialize
 from siftline.plans import run_pipeline
 
 # Workers cannot import this file; the stubs travel with the job.
@@ -168,7 +169,8 @@ def test_no_scorer_or_broken_setup_means_rules_for_all(leads):
     for make in (None, broken):
         scored, report = run(leads, make)
         assert table(scored) == table(score_leads(leads))
-        assert report.isEmpty() and report.columns == ["batch_id", "n_leads", "status", "error"]
+        assert report.columns == ["batch_id", "n_leads", "status", "error"]
+        assert table(report) == ([(None, None, "fallback", "ConnectionError: no key")] if make else [])
 
 
 def test_setup_that_fails_in_tasks_only(leads):
@@ -185,12 +187,42 @@ def test_setup_that_fails_in_tasks_only(leads):
 
 
 def test_concurrency_sets_the_number_of_tasks(spark, leads, tmp_path):
-    requests = build_requests(assign_batches(leads, ["n"], 1, unique=True), RUBRIC)
+    requests = materialize(build_requests(assign_batches(leads, ["n"], 1, unique=True), RUBRIC))
     path = str(tmp_path / "responses")
     responses = call_scorer(requests, answering(good), path, concurrency=2)
     assert len(list((tmp_path / "responses").glob("part-*"))) <= 2
     assert responses.count() == 45 and spark.read.parquet(path).count() == 45
-    assert parse_responses(responses).where("size(records) <> 1").isEmpty()
+    assert responses.where("size(records) <> 1").isEmpty()
+
+
+def test_a_run_that_died_is_taken_up(spark, leads, tmp_path):
+    """The job dies at the thirtieth batch; the next run asks only for those without an answer."""
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def make(fatal):
+        def make_scorer():
+            def score(prompt):
+                start = prompt.index("[{")
+                batch, _ = json.JSONDecoder().raw_decode(prompt, start)
+                (log / f"{batch[0]['id']}-{fatal}").touch()
+                if fatal and batch[0]["id"] == "30":
+                    os._exit(1)
+                return good(batch)
+
+            return score
+
+        return make_scorer
+
+    requests = materialize(build_requests(assign_batches(leads, ["n"], 1, unique=True), RUBRIC))
+    path = str(tmp_path / "responses")
+    with pytest.raises(Exception):
+        call_scorer(requests, make(True), path, 2, wave=10)
+    done = {r.batch_id for r in spark.read.parquet(path).collect()}
+    assert done == set(range(30))
+    assert call_scorer(requests, make(False), path, 2, wave=10).count() == 45
+    asked = {f.name.split("-")[0] for f in log.iterdir() if f.name.endswith("False")}
+    assert asked == {str(i) for i in range(30, 45)}
 
 
 def test_pipeline_without_ids(spark, leads, tmp_path):
@@ -215,7 +247,7 @@ def test_responses_are_parsed_once(spark):
     df = spark.range(3).select(F.col("id").alias("batch_id"), F.lit("[]").alias("response"))
     df = parse_responses(df.withColumn("response", F.concat("response", F.col("batch_id").cast("string"))))
     plan = flatten_scores(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("from_json") == 1
+    assert plan.count("from_json") == 2  # once with and once without line breaks in strings
 
 
 def test_strip_equals_python(spark):
@@ -231,20 +263,11 @@ def readable(text):
         if found:
             text = rest.partition(FENCE)[0]
             break
-    seen = []
-
-    def pairs(items):
-        seen.append(len({k for k, _ in items}) == len(items))
-        return dict(items)
-
-    def constant(name):
-        raise ValueError(name)
-
     try:
-        records = json.loads(text.strip(), object_pairs_hook=pairs, parse_constant=constant)
+        records = json.loads(text.strip())
     except ValueError:
         return None
-    if not isinstance(records, list) or not all(isinstance(r, dict) for r in records) or not all(seen):
+    if not isinstance(records, list) or not all(isinstance(r, dict) for r in records):
         return None
     return [r.get("id") for r in records]
 
@@ -252,7 +275,7 @@ def readable(text):
 def test_random_responses_equal_python(spark):
     rng = random.Random(11)
     pieces = [
-        "[", "]", "{", "}", ",", ":", '"id"', '"score"', '"a"', "1", "-50", "2.5", "1e3", "01", "true", "null", "NaN", '"tỷ"',
+        "[", "]", "{", "}", ",", ":", '"id"', '"score"', '"a"', "1", "-50", "2.5", "1e3", "01", "true", "null", "NaN", "-Infinity", '"tỷ"', '{"id":"1","id":"4"}',
         " ", "\n", "```", "```json", "'id'", '"x\\"y"', '"x\ny"', "\\", "// c", '[{"id":"1"}]', '{"id":"2","score":10}', '{"id":"3"}',
     ]
     base = '[{"id":"1","score":50,"classification":"HOT","reason":"a [b] {c}"},{"id":"2","score":"10"}]'

@@ -14,7 +14,7 @@ from siftline.operators.review import (
     validate_edits,
 )
 from siftline.operators.rules import score_leads
-from siftline.plans import review_and_export
+from siftline.plans import export_result, make_review, review_and_export
 from siftline.sources import export_handover, materialize, read_handover
 
 NEUTRAL = "Lead bình thường (nhu cầu hợp lý)"
@@ -24,15 +24,15 @@ FINAL = "id string, score double, classification string, reason string"
 def test_coerce_score(spark):
     cases = {
         "50": 50, " 10 ": 10, "1e2": 100, "-50.9": -50, "49.9": 49, "12abc": 10, "": 10, None: 10,
-        "nan": 10, "0x1F": 10, "1_0": 10, "50d": 10, "Infinity": 10, "1e400": 10, "9e18": 10,
-        ".5": 0, "5.": 5, "2147483647": 2147483647, "2147483648": 10, "-2147483648": 10, "+7": 7,
+        "nan": 10, "0x1F": 10, "1_0": 10, "50d": 10, "Infinity": 10, "1e400": 10, "9e18": 9 * 10**18, "1e19": 10, "-1e19": 10,
+        ".5": 0, "5.": 5, "2147483647": 2147483647, "2147483648": 2147483648, "-2147483648": -2147483648, "3000000000": 3000000000, "+7": 7,
         "1f": 10, "\t8\n": 8, ".": 10, "e5": 10,
     }
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     got = {r.s: r.v for r in df.select("s", coerce_score(F.col("s")).alias("v")).collect()}
     assert got == cases
     numbers = spark.createDataFrame([(49.9,), (None,), (float("nan"),), (float("-inf"),), (1e10,)], "s double")
-    assert [r.v for r in numbers.select(coerce_score(F.col("s")).alias("v")).collect()] == [49, 10, 10, 10, 10]
+    assert [r.v for r in numbers.select(coerce_score(F.col("s")).alias("v")).collect()] == [49, 10, 10, 10, 10**10]
     assert dict(numbers.select(parse_number(F.col("s")).alias("v")).dtypes) == {"v": "double"}
 
 
@@ -48,7 +48,7 @@ def test_order_and_kpis_come_before_repair(spark):
         ("1", 1, 50, "HOT"), ("3", 2, 10, "WARM"), ("2", 3, -50, "JUNK"), ("4", 4, 10, "WARM"), ("5", 5, 10, "WARM")
     ]
     assert review.where("id = '4'").first().reason == NEUTRAL
-    assert dict(review.dtypes)["score"] == "int"
+    assert dict(review.dtypes)["score"] == "bigint"
     assert kpis(final).first().warm == 0
 
 
@@ -79,7 +79,7 @@ def test_review_edits(spark):
          (None, "insert", "D", "10", "WARM", None), (1, "update", None, "5", "Hot", None)],
         EDITS,
     )
-    valid, rejected = validate_edits(edits)
+    valid, rejected = validate_edits(edits, review)
     assert [(r.row_id, r.rejected) for r in rejected.collect()] == [(1, "unknown class")]
     got = apply_review_edits(review, valid)
     assert got.schema == review.schema
@@ -89,16 +89,30 @@ def test_review_edits(spark):
 
 
 def test_edit_checks(spark):
+    review = spark.createDataFrame(
+        [(i, "A", 10, "WARM", 1.5, "x") for i in range(1, 9)], "row_id bigint, id string, score bigint, classification string, size double, reason string"
+    )
     edits = spark.createDataFrame(
-        [(1, "update", None, "5.5", None, None), (1, "update", None, "x", None, None), (None, "delete", None, None, None, None),
-         (1, "merge", None, None, None, None), (1, None, None, None, None, None), (1, "update", None, "7.0", None, "ok")],
-        EDITS,
+        [(1, "update", None, "5.5", None, None, None), (1, "update", None, "x", None, None, None), (None, "delete", None, None, None, None, None),
+         (1, "merge", None, None, None, None, None), (1, None, None, None, None, None, None), (2, "update", None, "7.0", "ok", None, None),
+         (3, "update", None, "1e2", None, None, None), (4, "update", None, "1e30", None, None, None), (5, "update", "B", None, None, None, None),
+         (6, "update", None, None, None, "2.5", None), (7, "update", None, None, None, "wide", None), (99, "delete", None, None, None, None, None),
+         (8, "update", None, "3000000000", None, None, ["reason", "size"])],
+        "row_id bigint, op string, id string, score string, reason string, size string, cleared array<string>",
     )
-    valid, rejected = validate_edits(edits)
-    assert [r.reason for r in valid.collect()] == ["ok"]
-    assert sorted(r.rejected for r in rejected.collect()) == [
-        "no row", "score is no integer", "score is no integer", "unknown operation", "unknown operation"
+    valid, rejected = validate_edits(edits.where("row_id <> 1 or op = 'merge' or row_id is null or op is null"), review)
+    assert sorted((str(r.row_id), r.rejected) for r in rejected.collect()) == [
+        ("1", "unknown operation"), ("1", "unknown operation"), ("4", "score is no integer"), ("5", "locked column"), ("7", "unreadable size"),
+        ("99", "unknown row"), ("None", "no row"),
     ]
+    got = {r.row_id: (r.score, r.reason, r.size) for r in apply_review_edits(review, valid).collect()}
+    assert got == {1: (10, "x", 1.5), 2: (7, "ok", 1.5), 3: (100, "x", 1.5), 4: (10, "x", 1.5), 5: (10, "x", 1.5), 6: (10, "x", 2.5),
+                   7: (10, "x", 1.5), 8: (3_000_000_000, None, None)}
+    two = spark.createDataFrame([(1, "update", "5"), (1, "update", "6"), (2, "update", "7")], "row_id bigint, op string, score string")
+    valid, rejected = validate_edits(two, review)
+    assert [r.score for r in valid.collect()] == ["7"] and {r.rejected for r in rejected.collect()} == {"two values and no order"}
+    valid, rejected = validate_edits(two.select("row_id", "op"), review)
+    assert valid.count() == 3 and rejected.isEmpty()
 
 
 def test_several_edits_of_one_row(spark):
@@ -119,7 +133,7 @@ def test_handover_round_trip(spark, tmp_path, format):
     leads = spark.createDataFrame([(str(i % 5), t, i) for i, t in enumerate(TEXTS)], "id string, nhu_cau_mo_ta string, extra int")
     stored = materialize(enrich_compact(leads, score_leads(leads)))
     path = str(tmp_path / "out")
-    assert review_and_export(stored, path, format=format) is None
+    export_result(stored, path, format)
     review = repair_for_review(number_for_review(stored)).orderBy("row_id").drop("row_id")
     back = read_handover(spark, path, review.schema, format)
     assert back.count() == 20
@@ -138,7 +152,7 @@ def test_handover_with_edits(spark, tmp_path):
         EDITS,
     )
     path = str(tmp_path / "out")
-    rejected = review_and_export(stored, path, edits)
+    rejected = review_and_export(make_review(stored), path, edits)
     assert [r.row_id for r in rejected.collect()] == [1]
     got = [(r.id, r.score, r.classification, r.reason) for f in sorted((tmp_path / "out").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
     assert got == [

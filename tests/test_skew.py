@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators.enrich import enrich_compact, match_counts
-from siftline.operators.metrics import kpis
+from siftline.operators.metrics import class_counts, kpis, score_histogram, tally
 from siftline.operators.rules import score_leads
-from siftline.plans import dashboard, review_and_export, run_pipeline
+from siftline.plans import dashboard, export_result, run_pipeline
 
 
 @pytest.fixture
@@ -55,13 +55,50 @@ def test_hot_id_through_the_whole_job(spark, settings, tmp_path):
     assert kpis(match_counts(leads, score_leads(leads))).first() == board.kpis.first()
     assert kpis(result.final).first() == board.kpis.first()
     path = str(tmp_path / "out")
-    review_and_export(result.stored, path)
+    export_result(result.stored, path)
     out = spark.read.parquet(path)
     assert out.count() == total
     sizes = [r["count"] for r in out.groupBy(F.col("_metadata.file_name")).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 0.3 * total
 
 
+def test_more_pairs_than_a_bigint_holds(spark):
+    """Two rows of 9e18 copies each, and counts per id whose product is too large."""
+    big = 9 * 10**18
+    counts = spark.createDataFrame([(50.0, "HOT", big), (50.0, "HOT", big), (10.0, "WARM", 1)], "score double, classification string, _copies bigint")
+    assert tuple(kpis(counts).first())[:3] == (2 * big + 1, 2 * big, 1)
+    assert {(r.classification, int(r.n)) for r in class_counts(counts).collect()} == {("HOT", 2 * big), ("WARM", 1)}
+    assert {int(r.n) for r in score_histogram(counts).collect()} == {2 * big, 1}
+    assert kpis(tally(counts)).first().total == 2 * big + 1
+
+
+def hot_scorer():
+    """A different reason for every lead, and no ids at all."""
+
+    def make():
+        def score(prompt):
+            import json
+
+            leads, _ = json.JSONDecoder().raw_decode(prompt, prompt.index("\n[{") + 1)
+            return json.dumps([{"id": x.get("id"), "score": 10, "classification": "WARM", "reason": x["nhu_cau_mo_ta"]} for x in leads])
+
+        return score
+
+    return make
+
+
+def test_model_run_stores_no_pairs(spark):
+    """Leads without id match each other; with a reason each, all k * k pairs differ."""
+    leads = spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
+        F.concat(F.lit("text "), F.col("id")).alias("nhu_cau_mo_ta"), F.col("id").alias("n"),
+    )
+    result = run_pipeline(leads, hot_scorer(), ["n"], unique_order=True)
+    assert result.stored.count() == 300 and result.scores.count() == 300
+    assert dashboard(result.counts).kpis.first().total == 100 * 100 * 2 + 100
+    assert result.final.count() == 100 * 100 * 2 + 100
+
+
 def test_hot_id_is_split_in_the_join(spark, settings, tmp_path):
     """Where nothing may be broadcast, adaptive execution cuts the hot partition."""
     settings(

@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from siftline.operators.rules import ColumnClash
-from siftline.plans import dashboard, run_pipeline
+from siftline.plans import dashboard, make_review, review_and_export, run_pipeline
 from siftline.sources import (
     EmptyLeads,
     build_session,
@@ -14,9 +14,7 @@ from siftline.sources import (
     require_rows,
     row_count,
     shared_dir,
-    size_shuffles,
 )
-from siftline.sources.session import estimated_bytes
 from siftline.sources.store import new_path
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
@@ -87,23 +85,32 @@ def test_shared_folder_is_the_one_of_the_session(spark):
     assert shared_dir(spark) == named and new_path(spark, "x").startswith(named + "/")
 
 
-def test_shuffle_partitions_grow_with_the_input(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+def test_a_run_leaves_only_its_results(spark, tmp_path):
+    from pathlib import Path
+
+    leads = spark.createDataFrame([("1", "penthouse"), ("1", "nhà"), ("2", "thuê bao")], "id string, nhu_cau_mo_ta string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    result = run_pipeline(leads)
+    assert len(set(folder.iterdir()) - before) == 1
+    review = make_review(result.stored)
+    assert len(set(folder.iterdir()) - before) == 2
+    edits = spark.createDataFrame([(1, "delete"), (99, "delete")], "row_id bigint, op string")
+    rejected = review_and_export(review, str(tmp_path / "out"), edits)
+    assert len(set(folder.iterdir()) - before) == 3
+    assert [(r.row_id, r.rejected) for r in rejected.collect()] == [(99, "unknown row")]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_no_folder_is_made_up(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
     try:
-        assert size_shuffles(spark, 1) == int(before)
-        assert size_shuffles(spark, 100 * 128 * 1024 * 1024) == 100
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
-        assert size_shuffles(spark, 1) == 100
+        if spark.conf.get("spark.checkpoint.dir", None) is None:
+            with pytest.raises(ValueError):
+                shared_dir(spark)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert build_session().conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
-
-
-def test_estimate_counts_scans_not_join_products(spark):
-    docs = spark.read.parquet(DOCS)
-    one = estimated_bytes(docs)
-    assert 1_000_000 < one < 3_000_000
-    assert estimated_bytes(docs.join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"))) == 2 * one
+        spark.conf.set("spark.checkpoint.dir", named)
 
 
 def test_dashboard_reads_the_kept_table_once(spark, tmp_path):
