@@ -134,7 +134,7 @@ def test_handover_round_trip(spark, tmp_path, format):
     stored = materialize(enrich_compact(leads, score_leads(leads)))
     path = str(tmp_path / "out")
     export_result(stored, path, format)
-    review = repair_for_review(number_for_review(stored)).orderBy("row_id").drop("row_id")
+    review = repair_for_review(number_for_review(stored, written=True)).orderBy("row_id").drop("row_id")
     back = read_handover(spark, path, review.schema, format)
     assert back.count() == 20
     assert back.exceptAll(review).isEmpty() and review.exceptAll(back).isEmpty()

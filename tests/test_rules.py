@@ -28,7 +28,6 @@ from siftline.operators.metrics import (
     score_histogram,
 )
 from siftline.operators.rules import ColumnClash, score_inline, score_leads
-from siftline.sources import store
 
 NEUTRAL = "Lead bình thường (nhu cầu hợp lý)"
 LEADS = [
@@ -249,12 +248,17 @@ def test_score_and_enrich_equals_join(spark, leads):
         ).drop("sid"))
 
 
-def test_many_repeated_ids_are_shuffled(spark, leads, monkeypatch):
-    """Beyond the broadcast bound the result is the same and nothing is broadcast."""
-    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
-    got = score_and_enrich(leads)
-    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
-    assert rows(got) == rows(enrich_compact(leads, score_leads(leads)))
+def test_many_repeated_ids_are_shuffled(spark, leads):
+    """Where Spark finds the table of repeated ids too large, the result is the same and nothing
+    is broadcast."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = score_and_enrich(leads)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got) == rows(enrich_compact(leads, score_leads(leads)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_plan_of_seldom_repeated_ids_moves_no_leads(spark, tmp_path):
