@@ -22,13 +22,18 @@ PAD, OTHER, GAP = 0, 1, 2
 
 def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> tuple[tuple[str, str], ...]:
     """(language, text) to learn from: about ``per_language`` labelled rows of each language that are
-    not held out, by the hash of their id, none longer than ``LONGEST_SAMPLE`` letters."""
+    not held out, by the hash of their id, none longer than ``LONGEST_SAMPLE`` letters. That many ids
+    and texts a language come to the driver; nothing else does."""
     known = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")
-    ).where(F.length("text").between(1, LONGEST_SAMPLE)).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count()
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")
+    ).where(F.length("text").between(1, LONGEST_SAMPLE))
+    # Drawn from ids and languages alone; only then are the texts of the few drawn rows fetched.
+    narrow = known.select("doc_id", "lang")
+    counts = narrow.groupBy("lang").count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((1 << 30) * per_language) / F.col("count")
-    rows = known.join(counts, "lang").where(part).select("lang", "doc_id", "text").collect()
+    drawn = narrow.join(counts, "lang").where(part).select("doc_id").distinct().collect()
+    ids = docs.sparkSession.createDataFrame(drawn, "doc_id long")
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
