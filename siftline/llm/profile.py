@@ -102,8 +102,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     ).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label"))
     n = known.count()
     share = min(1 << 30, int((1 << 30) * rows / max(1, n)))
-    some = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < share).limit(2 * rows)
-    return docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("label_id")).select("text", "label")
+    some = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < share).limit(2 * rows).collect()
+    # At most 2 * rows ids and labels, sent to the texts instead of shuffling all texts to them.
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(some, "label_id long, label int"))
+    return docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("label_id")).select("text", "label")
 
 
 def platt(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
