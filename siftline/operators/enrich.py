@@ -30,7 +30,11 @@ from siftline.sources.store import materialize
 COPY_BLOCK = 64
 BLOCK_STEP = 65_536
 
+# An id of more different score rows than this is joined in parts.
+CROWD = 1_000
+
 COPY_NO = "_copy"
+_PART = "_part"
 _BLOCK = "_block"
 
 _SCORED_ID = "_scored_id"
@@ -55,6 +59,38 @@ def enrich_compact(leads: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.drop(_SCORED_ID).withColumn(COPIES, F.coalesce(F.col(COPIES), F.lit(1)))
 
 
+def enrich_crowded(leads: DataFrame, scored: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``enrich_compact`` for ids that may have very many different score rows, as a model gives them.
+
+    Such an id is large on both sides, and splitting the leads alone would send all its score rows to
+    every part. So its score rows are dealt into parts of about ``crowd``, each of its leads goes
+    to all of these, and id and part together are joined: the work of a task stays in proportion to
+    the pairs it makes. Other ids are joined as usual.
+    """
+    reject_score_columns(leads)
+    right = materialize(distinct_scores(scored).withColumnRenamed(ID, _SCORED_ID), name="scores")
+    sizes = right.groupBy(F.col(_SCORED_ID).alias("_crowd_id")).agg(F.count("*").alias("_n"))
+    many = sizes.where(F.col("_n") > crowd).select("_crowd_id", F.expr(f"(_n - 1) div {crowd} + 1").alias("_parts"))
+    many = materialize(many, name="crowded")
+
+    def left_join(table: DataFrame, scores: DataFrame) -> DataFrame:
+        joined = table.join(scores, table[ID].eqNullSafe(scores[_SCORED_ID]), "left").drop(_SCORED_ID)
+        return joined.withColumn(COPIES, F.coalesce(F.col(COPIES), F.lit(1)))
+
+    if many.isEmpty():
+        return left_join(leads, right)
+    of_lead = leads[ID].eqNullSafe(many["_crowd_id"])
+    of_score = right[_SCORED_ID].eqNullSafe(many["_crowd_id"])
+    few = left_join(leads.join(many, of_lead, "left_anti"), right.join(many, of_score, "left_anti"))
+    part = F.pmod(F.xxhash64(*SCORE_COLUMNS), F.col("_parts"))
+    scores = right.join(many, of_score).withColumn(_PART, part).drop("_crowd_id", "_parts")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    dealt = leads.join(many, of_lead).withColumn("_lead_part", every).drop("_crowd_id", "_parts")
+    same = dealt[ID].eqNullSafe(scores[_SCORED_ID]) & (dealt["_lead_part"] == scores[_PART])
+    crowded = dealt.join(scores, same).drop("_lead_part", _PART, _SCORED_ID)
+    return few.unionByName(crowded)
+
+
 def score_and_enrich(leads: DataFrame, rules: RuleBook = DEFAULT_RULES) -> DataFrame:
     """``enrich_compact(leads, score_leads(leads))`` without shuffling the lead table where ids
     seldom repeat.

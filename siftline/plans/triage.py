@@ -19,7 +19,7 @@ from siftline.config import (
 )
 from siftline.operators.enrich import (
     COPY_NO,
-    enrich_compact,
+    enrich_crowded,
     expand_copies,
     match_counts,
     score_and_enrich,
@@ -63,7 +63,7 @@ class Result:
     @property
     def compact(self) -> DataFrame:
         """The join with the number of copies of each row."""
-        return self.stored if self.scores is None else enrich_compact(self.stored, self.scores)
+        return self.stored if self.scores is None else enrich_crowded(self.stored, self.scores)
 
     @property
     def counts(self) -> DataFrame:

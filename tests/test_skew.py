@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators.enrich import enrich_compact, match_counts
+from siftline.operators.enrich import enrich_compact, enrich_crowded, match_counts
 from siftline.operators.metrics import class_counts, kpis, score_histogram, tally
 from siftline.operators.rules import score_leads
 from siftline.plans import dashboard, export_result, run_pipeline
@@ -99,6 +99,20 @@ def test_model_run_stores_no_pairs(spark):
     assert result.final.count() == 100 * 100 * 2 + 100
 
 
+def test_crowded_ids_are_joined_in_parts(spark):
+    """Ids with many different scores on both sides give the same pairs, in parts."""
+    leads = spark.range(400).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
+        F.col("id").alias("n"),
+    )
+    scored = leads.select("id", (F.col("n") % 7).cast("double").alias("score"), F.lit("HOT").alias("classification"), F.col("n").cast("string").alias("reason")).where("n < 390")
+    want = enrich_compact(leads, scored)
+    for crowd in (20, 1000):
+        got = enrich_crowded(leads, scored, crowd)
+        assert got.columns == want.columns and got.count() == want.count()
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_hot_id_is_split_in_the_join(spark, settings, tmp_path):
     """Where nothing may be broadcast, adaptive execution cuts the hot partition."""
     settings(
