@@ -15,6 +15,7 @@ SEED = 42
 WORDS = 3
 RADIUS = 3
 SHARD_ROWS = 40_000
+PART_SHARDS = 4
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 256
 SHIFT = 1 << 63
@@ -120,22 +121,23 @@ def _deal(prints: np.ndarray, tree, radius: int):
         work.append((outer, rows[goes_out], (own & ~copied)[goes_out]))
 
 
-def _link(home: np.ndarray, query: np.ndarray, radius: int, parent: np.ndarray, prints) -> None:
-    """Joins in ``parent`` every home row with each home or query row within the radius."""
+def _link(home, query, radius: int, parent: np.ndarray, prints, among: bool) -> None:
+    """Joins in ``parent`` every home row with each query row, and ``among`` themselves with each home
+    row, within the radius."""
     work = [(home, query, 0)]
     while work:
         rows, asks, depth = work.pop()
-        if not len(rows):
+        if not len(rows) or not (among or len(asks)):
             continue
         cut = _split(prints[rows], depth) if len(rows) > LEAF_ROWS else None
         if cut is None:
-            _brute(rows, np.concatenate([rows, asks]), radius, parent, prints)
+            _brute(rows, np.concatenate([rows, asks]) if among else asks, radius, parent, prints)
             continue
         point, edge = cut
         d = far(prints[rows], point).astype(np.int64)
         e = far(prints[asks], point).astype(np.int64)
         inside = d <= edge
-        near = rows[inside & (d > edge - radius)]
+        near = rows[inside & (d > edge - radius)] if among else rows[:0]
         work.append((rows[inside], asks[e <= edge + radius], depth + 1))
         work.append((rows[~inside], np.concatenate([asks[e > edge - radius], near]), depth + 1))
 
@@ -146,7 +148,6 @@ def _brute(rows: np.ndarray, others: np.ndarray, radius: int, parent: np.ndarray
         for b in range(0, len(rows), 1024):
             mine = rows[b : b + 1024]
             close = np.bitwise_count(prints[part][:, None] ^ prints[mine][None, :]) <= radius
-            # Rows of a block with a common neighbour are one set: one link a row and column is enough.
             i, j = np.nonzero(close)
             _join(parent, part[i], mine[j])
 
@@ -180,7 +181,8 @@ def print_edges(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD
     A shard of the tree holds about ``shard_rows`` values; the values on the inner rim of a ball are
     also sent as queries to the shards outside that the bound leaves open. Each shard is searched
     with a tree of its own and gives at most one edge for each of its rows, however many pairs
-    a group of near copies has.
+    a group of near copies has. A shard that very many queries visit is searched in parts, each with
+    all of its own values and ``PART_SHARDS * shard_rows`` or so of the queries.
     """
     n = prints.count()
     leaves = max(1, -(-n // shard_rows))
@@ -202,17 +204,24 @@ def print_edges(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD
 
     def search(table: pa.Table) -> pa.Table:
         values, own = table.column("print").to_numpy(), table.column("own").to_numpy()
+        among = table.column("part")[0].as_py() == 0
         order = np.lexsort((values, ~own))
         values, own = values[order], own[order]
         parent = np.arange(len(values))
         homes = int(own.sum())
-        _link(np.arange(homes), np.arange(homes, len(values)), radius, parent, _unsigned(values))
+        _link(np.arange(homes), np.arange(homes, len(values)), radius, parent, _unsigned(values), among)
         root = _root(parent, np.arange(len(values)))
         hung = np.flatnonzero(root != np.arange(len(values)))
         return pa.table({"a": pa.array(values[hung]), "b": pa.array(values[root[hung]])})
 
     dealt = prints.mapInArrow(deal, "shard int, print long, own boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    asked = dealt.where("not own").groupBy("shard").count()
+    parts = asked.select(F.col("shard").alias("asked"), F.ceil(F.col("count") / (PART_SHARDS * shard_rows)).alias("parts"))
+    split = dealt.join(parts, F.col("shard") == F.col("asked"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    mine = F.when(F.col("own"), every).otherwise(F.array(F.pmod(F.xxhash64("print"), F.col("parts"))))
+    split = split.select("shard", F.explode(mine).alias("part"), "print", "own")
+    return split.groupBy("shard", "part").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
