@@ -16,6 +16,7 @@ from siftline.llm.common import (
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
+PARTITION_BYTES = 32 << 20
 BUCKET_ENTRIES = 2_000_000
 ANCHOR_BITS = 44
 KEY_BITS = 60
@@ -170,9 +171,11 @@ def repeated_passages(
     size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     shards = max(1, -(-size // shard_bytes))
     buckets = max(shuffle_partitions(spark), -(-size // (6 * BUCKET_ENTRIES)))
+    # Partitions follow the texts, so that none outgrows a task where the session names too few.
+    parts = max(shuffle_partitions(spark), -(-size // PARTITION_BYTES))
     dealt = docs.withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    ).repartition(shuffle_partitions(spark), "shard")
+    ).repartition(parts, "shard")
 
     def anchor_lists(table: pa.Table) -> pa.Table:
         """What a shard asks: (hash, occurs in two documents, is indexed), ascending, by range."""
@@ -296,11 +299,11 @@ def repeated_passages(
         })
 
     asked = dealt.groupBy("shard").applyInArrow(anchor_lists, "bucket int, shard long, list binary")
-    anchors = asked.groupBy("bucket").applyInArrow(shared_anchors, "shard long, list binary")
+    anchors = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(shared_anchors, "shard long, list binary")
     windows = dealt.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(
         window_lists, "bucket int, shard long, keys binary, checks binary, lows binary, many binary"
     )
-    lows = windows.groupBy("bucket").applyInArrow(
+    lows = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(
         least_documents, "shard long, keys binary, checks binary, lows binary"
     )
     return dealt.groupBy("shard").cogroup(lows.groupBy("shard")).applyInArrow(
