@@ -8,7 +8,6 @@ from siftline.operators.rules import ColumnClash
 from siftline.plans import dashboard, make_review, review_and_export, run_pipeline
 from siftline.sources import (
     EmptyLeads,
-    build_session,
     materialize,
     read_leads,
     require_rows,
