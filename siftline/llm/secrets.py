@@ -157,13 +157,35 @@ def _is_random(token: Column, model: list[float], min_ratio: float) -> Column:
     return (F.size(F.array_distinct(F.split(token, ""))) >= MIN_LETTERS) & (_ratio(token, model) >= min_ratio)
 
 
+def _outside(run: Column) -> Column:
+    """The parts of a run, of ``RUN_LENGTH`` letters or more, that lie outside of all spans of ``base``."""
+    part = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    met = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("parts"))
+    parts = F.aggregate(
+        met, start,
+        lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"), F.array_append(acc["parts"], part(acc["at"], b["start"])).alias("parts")
+        ),
+        lambda acc: F.array_append(acc["parts"], part(acc["at"], run["end"])),
+    )
+    return F.transform(
+        F.filter(parts, lambda p: p["end"] - p["start"] >= RUN_LENGTH),
+        lambda p: F.struct(
+            p["start"].alias("start"), run["place"].alias("place"), run["kind"].alias("kind"), p["end"].alias("end"),
+            F.substring(run["value"], p["start"] - run["start"] + 1, p["end"] - p["start"]).alias("value"),
+        ),
+    )
+
+
 def scan(docs: DataFrame, model: list[float] | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_model, base_sha256, spans`` for every row of ``docs``
     (``doc_id, text``).
 
     A span is ``kind:start:end`` in code points, the end exclusive, ordered by start, then kind. To
-    the base spans the model adds runs of 20 letters or more, 8 of them different, that overlap none
-    of them and whose mean log-likelihood ratio is ``min_ratio`` or more. A null or empty text has no span (its
+    the base spans the model adds runs of 20 letters or more, 8 of them different, whose mean
+    log-likelihood ratio is ``min_ratio`` or more. Runs are cut at base spans, and what is left of them
+    is judged part by part. A null or empty text has no span (its
     ``base_sha256`` is that of the empty string). Repeated rows and rows without doc_id are
     scanned like others; an empty table gives an empty one.
     """
@@ -174,9 +196,8 @@ def scan(docs: DataFrame, model: list[float] | None = None, min_ratio: float = M
         F.col(c), lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))
     )
     table = table.withColumn("base", F.array_sort(F.concat(drop("assign"), drop("access"), drop("hex"))))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     table = table.withColumn(
-        "model", F.filter("model", lambda s: apart(s) & _is_random(s["value"], model, min_ratio))
+        "model", F.filter(F.flatten(F.transform("model", _outside)), lambda s: _is_random(s["value"], model, min_ratio))
     ).withColumn("every", F.array_sort(F.concat("base", drop("model"))))
     text = lambda c: F.array_join(
         F.transform(F.col(c), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
