@@ -41,8 +41,9 @@ def fingerprint(text: bytes, width: int = WORDS) -> int:
 def _fingerprints(batches):
     for batch in sliced(batches):
         prints = [fingerprint(t) - SHIFT for t in byte_texts(batch.column("text"))]
+        others = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"]
+            [*(batch.column(c) for c in others), pa.array(prints, pa.int64())], names=[*others, "print"]
         )
 
 
@@ -250,12 +251,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each component the row with the smallest doc_id
-    stays, once (repeated rows of it too are copies); rows without doc_id stay. Columns as given."""
+    stays, once (repeated rows of it too are copies; of different texts of that id in one component the
+    one of the smallest hash stays); rows without doc_id stay. A doc_id of several components stays
+    once in each where it is the smallest. Columns as given."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = hashed.mapInArrow(_fingerprints, "doc_id long, hash long, print long")
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))
+    prints = rows.groupBy("print").agg(F.min(known).alias("first")).transform(written, "prints")
+    linked = cut(components(print_edges(prints.select("print"), radius)))
+    # A component's key is its smallest print, so that an id in several components stays apart.
     kept = (
-        near_duplicates(docs, radius)
-        .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("_kept_id"))
-        .distinct()
+        prints.join(linked, linked.node == prints.print, "left")
+        .groupBy(F.coalesce("component", "print").alias("component"))
+        .agg(F.min("first").alias("first"))
+        .where("first is not null")
+        .select(F.col("first.doc_id").alias("_kept_id"), F.col("first.hash").alias("_kept_hash"))
     )
-    one = docs.where("doc_id is not null").join(kept, docs.doc_id == kept._kept_id, "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    own = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
+    one = own.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(docs.where("doc_id is null"))

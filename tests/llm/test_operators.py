@@ -145,6 +145,26 @@ def test_simhash(docs):
     assert ids == sorted([(r[0],) for r in brute.AWKWARD if r[0] is None] + [(i,) for i in {w[2] for w in want if w[0] is not None}], key=repr)
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """An id that stands on different texts loses none but near copies."""
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 400))
+    x, y, z, *more = (text() for _ in range(40))
+    near = y + " end"
+    rows = [(5, x), (5, x), (5, y), (2, near), (7, z), (None, x), (9, x), (1, y), (5, None), (5, "")] + [(8, t) for t in more] + [(8, more[0])]
+    prints = [brute.fingerprint(t) for _, t in rows]
+    links = np.array([[bin(a ^ b).count("1") <= 3 for a in prints] for b in prints])
+    low = brute.closure(links)
+    assert len(set(low)) == 3 + 1 + len(more)
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int").repartition(4)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [r for r in kept.collect() if r.doc_id is not None]
+    groups = {int(k): min(i for i, j in zip((r[0] for r in rows), low) if j == k and i is not None) for k in low}
+    assert sorted((int(low[r._row]), r.doc_id) for r in got) == sorted(groups.items())
+    assert kept.where("doc_id is null").count() == 1
+
+
 def test_shards_of_fingerprints(spark):
     """Many shards and deep trees find the same links as comparing all."""
     rng = np.random.default_rng(3)
