@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,32 +14,53 @@ from siftline.llm.common import held_out, need, sliced
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 100
-LONGEST_SAMPLE = 20_000
-MODEL_CHARS = 80_000
+LANGUAGE_CHARS = 20_000
 LETTERS = 120
 BLOCK = 256
 PAD, OTHER, GAP = 0, 1, 2
 
 
+def _shares(lengths: list[int], room: int) -> list[int]:
+    """Letters of each text, as even as their lengths let them be, ``room`` in all or fewer."""
+    out = [0] * len(lengths)
+    for k, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[i] = min(lengths[i], room // (len(lengths) - k))
+        room -= out[i]
+    return out
+
+
+def _excerpt(text: str, size: int) -> str:
+    start = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (len(text) - size + 1)
+    return text[start : start + size]
+
+
 def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> tuple[tuple[str, str], ...]:
     """(language, text) to learn from: about ``per_language`` labelled rows of each language that are
-    not held out, by the hash of their id, none longer than ``LONGEST_SAMPLE`` letters. That many ids
-    and texts a language come to the driver; nothing else does."""
+    not held out, by the hash of their id, of any length. Of each an excerpt of ``LANGUAGE_CHARS``
+    letters at most, at a hashed place, comes to the driver; nothing else does. There the rows of a
+    language share ``LANGUAGE_CHARS`` letters evenly."""
     known = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")
-    ).where(F.length("text").between(1, LONGEST_SAMPLE))
-    # Drawn from ids and languages alone; only then are the texts of the few drawn rows fetched.
+    ).where(F.length("text") > 0)
+    # Drawn from ids and languages alone; only then are excerpts of the few drawn rows fetched.
     narrow = known.select("doc_id", "lang")
     counts = narrow.groupBy("lang").count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((1 << 30) * per_language) / F.col("count")
-    drawn = narrow.join(counts, "lang").where(part).select("doc_id").distinct().collect()
-    ids = docs.sparkSession.createDataFrame(drawn, "doc_id long")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").collect()
+    drawn = narrow.join(counts, "lang").where(part).select("doc_id", "lang").distinct().collect()
+    ids = docs.sparkSession.createDataFrame(drawn, "doc_id long, lang string")
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - LANGUAGE_CHARS, F.lit(0)) + 1) + 1
+    excerpt = F.substring(F.col("text"), place.cast("int"), F.lit(LANGUAGE_CHARS))
+    rows = (
+        known.select("doc_id", "lang", excerpt.alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
+        .groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    )
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    room = MODEL_CHARS // max(1, len(texts))
-    return tuple((k, "\n".join(v)[:room]) for k, v in texts.items())
+    return tuple(
+        (k, "\n".join(_excerpt(t, n) for t, n in zip(v, _shares([len(t) for t in v], max(1, LANGUAGE_CHARS - len(v))))))
+        for k, v in texts.items()
+    )
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:

@@ -53,6 +53,22 @@ def test_language(docs):
     assert {lang for i, lang, _ in got if i in (3, 4, 5, 10)} == {"und"}
 
 
+def test_language_of_long_rows(spark):
+    """Long rows are learned from; every drawn row and every language has its share of the sample."""
+    words = {"en": "the of and house with that green river", "de": "der und haus mit dass gruen fluss nicht"}
+    rng = np.random.default_rng(2)
+    text = lambda k, n: " ".join(rng.choice(words[k].split(), n))
+    rows = [(i, text(k, 6000), k) for i, k in enumerate(["en", "de"] * 10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(r[1]) for r in rows) > 20_000
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language.identify(table).collect())
+    mixed = [(i, f"{chr(0x4E00 + i)} " * 3000, f"l{i % 6}") for i in range(120)]
+    sample = dict(language.sample_texts(spark.createDataFrame(mixed, "doc_id long, text string, lang string")))
+    for k in range(6):
+        own = {chr(0x4E00 + i) for i in range(k, 120, 6) if zlib.crc32(str(i).encode()) % 4 != 2}
+        assert set(sample[f"l{k}"]) - {" ", "\n"} == own and 19_000 < len(sample[f"l{k}"]) <= 20_000
+
+
 def test_quality_model(docs, labels):
     got = quality_model.score_quality(docs, labels).collect()
     assert len(got) == len(brute.AWKWARD)
