@@ -6,7 +6,6 @@ import functools
 import os
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +14,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import byte_texts, need, shuffle_partitions, sliced, written
+from siftline.llm.common import byte_texts, flat, need, shuffle_partitions, sliced, word_bounds, written
+from siftline.llm.known import Known, distinct, gathered, packed
+from siftline.llm.tokens import _byte_letters
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 # Group counts and smallest large share of the capacity that are tried, in this order.
 TRIALS = ((16, 4), (16, 2), (8, 2), (8, 8), (24, 3))
-KNOWN = 700_000
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK = np.zeros(256, bool)
+MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+# Second bytes of letters of Latin-1, of which the times and division signs are none.
+LATIN = np.zeros(256, bool)
+LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+LETTERS = {b: letter for letter, b in _byte_letters().items()}
+SLICE = 6 << 20
+BORDER = "<|startoftext|>"
+TOGETHER = 100
 RANK_ROWS = 100_000
 
 
 class Encoder:
     """Ids of words, which are looked up if met before. White space is no part of any token, so a
     text's ids are those of its words in turn; only spaces of one byte cut words here, others are
-    left to the tokenizer."""
+    left to the tokenizer. A mark after a letter starts a word as well, and ASCII words are asked in
+    lower case: the vocabulary parts and folds them so itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,36 +50,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.ids, self.offset, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.special = self.tokenizer.token_to_id(BORDER)
+        self.known = Known(self._ids)
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """A word of Latin letters is one pre-token, which the model parts; others go all the way, many a
+        call, with a special string between them, or alone if they might complete such a string."""
+        split, out = self.tokenizer.model.tokenize, [b""] * len(words)
+        joined, odd = [], []
+        for k, w in enumerate(words):
+            if w.isascii():
+                text = w.decode() if w.isalpha() and w.islower() else ""
+            else:
+                text = w.decode().lower()
+                text = text.encode().decode("latin-1").translate(LETTERS) if text.isalpha() and max(text) < "\u0250" else ""
+            if text:
+                out[k] = packed([t.id for t in split(text)])
+            elif b"<" in w or b">" in w:
+                odd.append(k)
+            else:
+                joined.append(k)
+        parts = [joined[a : a + TOGETHER] for a in range(0, len(joined), TOGETHER)]
+        calls = [BORDER.join(words[k].decode() for k in part) for part in parts]
+        calls += [words[k].decode() for k in odd]
+        found = self.tokenizer.encode_batch_fast(calls, add_special_tokens=False)
+        for part, encoded in zip(parts, found):
+            ids, a = encoded.ids, 0
+            for k in part[:-1]:
+                b = ids.index(self.special, a)
+                out[k], a = packed(ids[a:b]), b + 1
+            out[part[-1]] = packed(ids[a:])
+        for k, encoded in zip(odd, found[len(parts) :]):
+            out[k] = packed(encoded.ids)
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids start (one more entry)."""
-        if len(self.slots) > KNOWN:
-            self._forget()
-        words = [t.split() for t in texts]
-        slots = self.slots
-        new = [w for w in set(chain.from_iterable(words)) if w not in slots]
-        if new:
-            encoded = [
-                e.ids
-                for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            ]
-            size = np.array([len(x) for x in encoded], np.int64)
-            self.offset = np.append(self.offset, len(self.ids) + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.ids = np.append(self.ids, np.array([i for x in encoded for i in x], np.uint32))
-            slots.update(zip(new, range(len(slots), len(slots) + len(new))))
-        found = np.fromiter(map(slots.__getitem__, chain.from_iterable(words)), np.int64)
-        size = self.size[found]
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        at = np.arange(total) - np.repeat(stop - size - self.offset[found], size)
-        before = np.concatenate([[0], stop])
-        return self.ids[at], before[np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)]
+        data, starts = flat(texts)
+        first, end = word_bounds(data, starts)
+        letter = LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & LATIN[data[1:]]
+        mark = np.flatnonzero(letter[:-1] & MARK[data[1:]]) + 1
+        mark = mark[~np.isin(mark, starts)]
+        first, end = np.sort(np.append(first, mark)), np.sort(np.append(end, mark))
+        words, which = distinct(data, first, end)
+        # "<" may open a special string, which is told by its case.
+        words = [w.lower() if w.isascii() and b"<" not in w else w for w in words]
+        ids, at = self.known.ids(words)
+        places, before = gathered(at, which)
+        return ids[places], before[np.searchsorted(first, starts)]
 
 
 @functools.lru_cache(1)
@@ -81,7 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 
     def cut(batches):
         codec = encoder(public_tokenizers.path(vocabulary))
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE):
             ids, starts = codec.encode(byte_texts(batch.column("text")))
             rows, out = [], []
             for row, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
