@@ -10,8 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import byte_texts, flat, mix, need, shuffle_partitions, sliced, written
-from siftline.llm.known import distinct
+from siftline.llm.common import (
+    GOLDEN,
+    byte_texts,
+    flat,
+    mix,
+    need,
+    shuffle_partitions,
+    sliced,
+    word_hashes,
+    written,
+)
+from siftline.llm.known import distinct, gathered
 
 LONGEST = 3
 LEAST = 10
@@ -19,16 +29,20 @@ COVERED = 50
 TOP = 2000
 NO_LANG = "und"
 # Phrases that a task holds, entries of a container before it bursts, and bytes of text to a partition.
-HELD = 3_000_000
-BURST = 1 << 15
+HELD = 2_000_000
+BURST = 1 << 17
 PART_BYTES = 24 << 20
 MERGE_BYTES = 96 << 20
 DIGIT = 7
+# Bytes of text that are counted at once, and phrases that are written out at once.
+SLICE = 8 << 20
+AT_ONCE = 200_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
+NEWLINE = 10
 GAP = BREAK.copy()
 GAP[[9, 32]] = True
 
@@ -54,15 +68,13 @@ class Container:
         last = np.uint64(len(self.keys) - 1)
         slot = (mix(keys.astype(np.uint64)) & last).astype(np.int64)
         while len(keys):
-            there = self.keys[slot]
-            free = slot[there == -1]
-            self.keys[free] = keys[there == -1]  # of several that want a slot, one gets it
-            there = self.keys[slot]
-            mine = there == keys
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[free]  # of several that want a slot, one gets it
+            mine = self.keys[slot] == keys
+            self.n += int(np.count_nonzero(mine & free))
             self.counts[slot[mine]] += counts[mine]
             keys, counts = keys[~mine], counts[~mine]
             slot = slot[~mine] + 1 & np.int64(last)
-        self.n = int(np.count_nonzero(self.keys >= 0))
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         used = self.keys >= 0
@@ -141,6 +153,7 @@ class Counter:
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.words: list[bytes] = []
+        self.spelt, self.spelt_words = (), -1
         self.bytes = 0
         self.trie = Trie(self.bits, self.longest)
 
@@ -169,37 +182,46 @@ class Counter:
         """No number is left for one batch more of new words."""
         return len(self.words) + (1 << self.bits) // 4 > (1 << self.bits)
 
+    def _spelt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all words, each with a blank after it, where they start, their rank and their hash."""
+        if len(self.words) != self.spelt_words:
+            words = [b"", *self.words]
+            data, starts = flat([w + b" " for w in words])
+            rank = np.empty(len(words), np.int64)
+            rank[pc.sort_indices(pa.array(words, pa.binary())).to_numpy()] = np.arange(len(words))
+            codes = word_hashes(data, starts[:-1], starts[1:])
+            self.spelt, self.spelt_words = (data, starts, rank, codes), len(self.words)
+        return self.spelt
+
     def run(self, keys: np.ndarray, counts: np.ndarray, parts: int):
-        """Sorted runs (prefix partition, phrases one a line, counts). The prefix is the first two words."""
-        table = np.array([b"", *self.words], object)
-        columns = [
-            keys >> np.int64(self.bits * (self.longest - 1 - k)) & np.int64((1 << self.bits) - 1)
-            for k in range(self.longest)
-        ]
-        used, back = np.unique(np.concatenate(columns[:2]), return_inverse=True)
-        codes = np.array([_word_code(table[k]) for k in used.tolist()], np.uint64)[back]
-        prefix = codes[: len(keys)] * np.uint64(0x9E3779B97F4A7C15)
-        if len(columns) > 1:
-            prefix = prefix + codes[len(keys) :]
+        """A sorted run cut by prefix partition, of the first two words: (partition, phrases one a line,
+        counts). Phrases are in the order of their words."""
+        data, starts, rank, codes = self._spelt()
+        shifts = [np.int64(self.bits * (self.longest - 1 - k)) for k in range(self.longest)]
+        last = np.int64((1 << self.bits) - 1)
+        order = np.zeros(len(keys), np.int64)
+        for k in shifts:
+            order |= rank[keys >> k & last] << k
+        order = np.argsort(order)
+        keys, counts = keys[order], counts[order]
+        prefix = codes[keys >> shifts[0] & last] * GOLDEN + codes[keys >> shifts[1] & last]
         part = (mix(prefix) % np.uint64(parts)).astype(np.int64)
-        texts = table[columns[0]]
-        for k in range(1, self.longest):
-            more = np.flatnonzero(columns[k])
-            texts[more] = texts[more] + b" " + table[columns[k][more]]
-        order = np.array(pc.sort_indices(pa.array(texts, pa.large_binary())))
-        order = order[np.argsort(part[order], kind="stable")]
-        part, texts, counts = part[order], texts[order].tolist(), counts[order]
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        part, keys, counts = part[order], keys[order], counts[order]
         cuts = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(part)).tolist()):
-            yield int(part[a]), b"\n".join(texts[a:b]), counts[a:b]
-
-
-def _word_code(word: bytes) -> int:
-    code = 0xCBF29CE484222325
-    for a in range(0, len(word), 8):
-        code = (code ^ int.from_bytes(word[a : a + 8], "little")) * 0x100000001B3 % (1 << 64)
-        code ^= code >> 29
-    return code
+        cuts = np.union1d(cuts, np.arange(0, len(keys), AT_ONCE))
+        for a in range(0, len(keys), AT_ONCE):
+            some = keys[a : a + AT_ONCE]
+            number = np.stack([some >> k & last for k in shifts], 1)
+            used = number > 0
+            places, before = gathered(starts, number[used])
+            text = data[places]
+            stop = before[np.cumsum(used.sum(1))]
+            text[stop - 1] = NEWLINE
+            stop, text = np.append(0, stop), text.tobytes()
+            own = cuts[(cuts >= a) & (cuts < a + len(some))].tolist()
+            for x, y in zip(own, [*own[1:], a + len(some)]):
+                yield int(part[x]), text[stop[x - a] : stop[y - a]], counts[x:y]
 
 
 RUNS = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.list_(pa.int64()))])
@@ -230,7 +252,7 @@ def _count(longest: int, parts: int, held: int):
                     yield from rows(lang, keys, counts)
                 least -= had - counters[lang].trie.n
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE):
             langs = batch.column("lang")
             for lang in langs.unique().to_pylist():
                 own = batch.filter(pc.equal(langs, lang))
@@ -270,6 +292,17 @@ def word_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, end, piece[first]
 
 
+def _lines(text: bytes) -> pa.Array:
+    """The lines of ``text``, all of which end with a line end."""
+    data = np.frombuffer(text, np.uint8)
+    end = np.flatnonzero(data == NEWLINE)
+    offsets = np.append(0, end + 1 - np.arange(1, len(end) + 1))
+    data = np.ascontiguousarray(data[data != NEWLINE])
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(end), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    )
+
+
 def _merge(least: int, limit: int):
     """The runs of a partition merged: phrases with ``least`` or more, and each language's words in
     all (as the phrase of no words)."""
@@ -293,7 +326,7 @@ def _merge(least: int, limit: int):
                 batch.column("lang").to_pylist(), batch.column("phrases").to_pylist(), batch.column("counts")
             ):
                 counts = counts.values.to_numpy()
-                lines = pa.array(phrases.split(b"\n"), pa.large_binary())
+                lines = _lines(phrases)
                 held.setdefault(lang, []).append((lines, counts))
                 size[lang] = size.get(lang, 0) + len(phrases) + 16 * len(counts)
                 if size[lang] > limit:

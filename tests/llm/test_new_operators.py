@@ -235,7 +235,7 @@ def test_runs_merge_under_a_small_limit():
         c = Counter(f"{rng.randint(0, 40)} {rng.randint(0, 3)}" for _ in range(30))
         want.update(c)
         run = sorted(c)
-        rows.append({"part": 0, "lang": "en", "phrases": "\n".join(run).encode(), "counts": [c[x] for x in run]})
+        rows.append({"part": 0, "lang": "en", "phrases": "".join(p + "\n" for p in run).encode(), "counts": [c[x] for x in run]})
     batches = [pa.RecordBatch.from_pylist([r], schema=phrases.RUNS) for r in rows]
     got = [r for b in phrases._merge(3, 500)(batches) for r in b.to_pylist()]
     assert {r["phrase"]: r["f"] for r in got if r["size"]} == {p: n for p, n in want.items() if n >= 3}
