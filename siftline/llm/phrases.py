@@ -29,14 +29,14 @@ COVERED = 50
 TOP = 2000
 NO_LANG = "und"
 # Phrases that a task holds, entries of a container before it bursts, and bytes of text to a partition.
-HELD = 2_000_000
+HELD = 1_000_000
 BURST = 1 << 17
-PART_BYTES = 24 << 20
-MERGE_BYTES = 96 << 20
+PART_BYTES = 8 << 20
+MERGE_BYTES = 32 << 20
 DIGIT = 7
 # Bytes of text that are counted at once, and phrases that are written out at once.
-SLICE = 8 << 20
-AT_ONCE = 200_000
+SLICE = 4 << 20
+AT_ONCE = 100_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
