@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import byte_texts, flat, need, sliced, written
-from siftline.llm.known import Known, distinct, gathered, packed
+from siftline.llm.known import distinct, gathered
 from siftline.llm.tokens import _byte_letters
 
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 # Bytes of text whose documents share one list of id pairs.
-SLICE = 16 << 20
+SLICE = 6 << 20
 SPACE = 0x20
 BLANK = "▁"
+# Words to a call, and calls whose tokens are held at once.
 JOINED = 200
+CALLS = 50
 
 
 class Tokenizers:
@@ -55,29 +57,38 @@ class Tokenizers:
         # No piece goes on over a blank and no special string holds one, so that both tokenizers may
         # be given a text in stretches.
         self.parted = not any(BLANK in p.lstrip(BLANK) for p in b_pieces) and not any(b" " in t for t in added)
-        self.known_a = Known(self._first)
-        self.known_b = Known(self._second)
-
-    def _second(self, words: list[bytes]) -> list[bytes]:
-        return [packed(ids) for ids in self.b.encode([w[1:].decode() for w in words], num_threads=1)]
-
-    def _first(self, words: list[bytes]) -> list[bytes]:
-        """Many stretches a call; the lengths of the tokens tell where each ends."""
-        calls = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        if not self.parted:
-            calls = [[w] for w in words]
-        found = self.a.encode_batch_fast([b"".join(c).decode() for c in calls], add_special_tokens=False)
-        out = []
-        for call, encoded in zip(calls, found):
-            ids = np.array(encoded.ids, np.uint32)
-            stop = np.cumsum(self.a_table.size[ids])
+
+    def first(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of A of all ``words``, and where those of each start (one more entry)."""
+
+        def encode(texts):
+            found = self.a.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [e.ids for e in found]
+
+        return self._tokens(words, encode, self.a_table)
+
+    def second(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of B, which adds the blank that a word begins with."""
+        return self._tokens(words, lambda texts: self.b.encode([t[1:].decode() for t in texts], num_threads=1), self.b_table)
+
+    def _tokens(self, words, encode, table):
+        """Many words a call: the lengths of the tokens tell where each ends, or else it is asked alone."""
+        joined = JOINED if self.parted else 1
+        calls = [words[k : k + joined] for k in range(0, len(words), joined)]
+        ids, sizes = [], []
+        found = (x for k in range(0, len(calls), CALLS) for x in encode([b"".join(c) for c in calls[k : k + CALLS]]))
+        for call, found_ids in zip(calls, found):
+            own = np.array(found_ids, np.uint32)
+            stop = np.append(0, np.cumsum(table.size[own]))
             ends = np.cumsum([len(w) for w in call])
-            at = np.append(0, np.searchsorted(stop, ends, side="right"))
-            if len(stop) == 0 or stop[-1] != ends[-1] or not np.array_equal(stop[at[1:] - 1], ends):
-                out += [packed(self.a.encode(w.decode(), add_special_tokens=False).ids) for w in call]
-            else:
-                out += [ids[x:y].tobytes() for x, y in zip(at.tolist(), at[1:].tolist())]
-        return out
+            at = np.searchsorted(stop, ends, side="right") - 1
+            if stop[-1] != ends[-1] or not np.array_equal(stop[at], ends):
+                alone = encode(call)
+                own, at = np.array([k for x in alone for k in x], np.uint32), np.cumsum([len(x) for x in alone])
+            ids.append(own)
+            sizes.append(np.diff(at, prepend=0))
+        starts = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), starts
 
 
 class Table:
@@ -111,7 +122,7 @@ ASCII, LEAD = _plain()
 
 
 def stretches(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where the texts are cut: at each text's first byte, and at blanks between two characters of which
+    """Where texts that start at ``starts`` (and end with the data) are cut: at each text's first byte, and at blanks between two characters of which
     neither is white space. There both tokenizers start anew. (Characters that share their first
     byte with some white space count as such.)"""
     n = len(data)
@@ -125,7 +136,10 @@ def stretches(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         place = np.maximum(at - back, 0)
         before |= tail & LEAD[data[place]]
         tail &= (data[place] >= 0x80) & (data[place] < 0xC0)
-    return np.union1d(at[before], starts[:-1])
+    cut = np.zeros(n + 1, bool)
+    cut[at[before]] = True
+    cut[starts] = True
+    return np.flatnonzero(cut[:n])
 
 
 def coalesce(a_end: np.ndarray, a_start: np.ndarray, b_end: np.ndarray, b_start: np.ndarray):
@@ -155,8 +169,8 @@ class Aligned:
     """Alignment of many stretches at once, all of which both tokenizers cut alike at the border."""
 
     def __init__(self, words: list[bytes], codec: Tokenizers):
-        ids_a, at_a = codec.known_a.ids(words)
-        ids_b, at_b = codec.known_b.ids(words)
+        ids_a, at_a = codec.first(words)
+        ids_b, at_b = codec.second(words)
         data, starts = flat(words)
         size_a, size_b = codec.a_table.size[ids_a], codec.b_table.size[ids_b]
         n = len(words)
@@ -241,8 +255,7 @@ def _align(first: str, second: str):
             ids = batch.column("doc_id")
             texts = [b" " + t if t else b"" for t in byte_texts(batch.column("text"))]
             data, starts = flat(texts)
-            begin = stretches(data, starts[starts < len(data)]) if codec.parted else np.unique(starts[starts < len(data)])
-            begin = np.union1d(begin, starts[:-1][np.diff(starts) > 0])
+            begin = stretches(data, starts) if codec.parted else starts[:-1][np.diff(starts) > 0]
             words, which = distinct(data, begin, np.append(begin[1:], len(data)))
             found = Aligned(words, codec)
             at = np.searchsorted(begin, starts)
