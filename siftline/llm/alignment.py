@@ -21,12 +21,13 @@ from siftline.llm.tokens import _byte_letters
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 # Bytes of text whose documents share one list of id pairs.
-SLICE = 6 << 20
+SLICE = 4 << 20
 SPACE = 0x20
 BLANK = "▁"
 # Words to a call, and calls whose tokens are held at once.
 JOINED = 200
 CALLS = 50
+AT_ONCE = 30_000
 
 
 class Tokenizers:
@@ -189,10 +190,22 @@ class Aligned:
         self.n_groups = np.bincount(own_a[first_of_group], minlength=n)
         self.links = ids_a[left].astype(np.int64) << 32 | ids_b[right]
         self.n_links = np.bincount(own_a[left], minlength=n)
-        self.link_starts = np.append(0, np.cumsum(self.n_links))
         self.groups = _written(codec, ids_a, ids_b, own_a, own_b, group_a, group_b, n)
 
 
+class AlignedParts:
+    """The same of any number of stretches, some thousands at a time."""
+
+    def __init__(self, words: list[bytes], codec: Tokenizers):
+        parts = [Aligned(words[k : k + AT_ONCE], codec) for k in range(0, max(len(words), 1), AT_ONCE)]
+        self.right, self.n_a, self.n_b, self.n_groups, self.n_links, self.links = (
+            np.concatenate([getattr(p, name) for p in parts])
+            for name in ("right", "n_a", "n_b", "n_groups", "n_links", "links")
+        )
+        self.groups = [g for p in parts for g in p.groups]
+        self.link_starts = np.append(0, np.cumsum(self.n_links))
+
+
 def _spells(table: Table, ids, own, size, data, starts) -> np.ndarray:
     """Which stretches the tokens give back byte by byte."""
     n = len(starts) - 1
@@ -257,7 +270,7 @@ def _align(first: str, second: str):
             data, starts = flat(texts)
             begin = stretches(data, starts) if codec.parted else starts[:-1][np.diff(starts) > 0]
             words, which = distinct(data, begin, np.append(begin[1:], len(data)))
-            found = Aligned(words, codec)
+            found = AlignedParts(words, codec)
             at = np.searchsorted(begin, starts)
             own = np.repeat(np.arange(len(texts)), np.diff(at))
             right = np.bincount(own[~found.right[which]], minlength=len(texts)) == 0
