@@ -1,6 +1,6 @@
 """Scoring leads in batches with a model the caller supplies.
 
-requests  -> one row per batch of consecutive leads, with the prompt
+requests  -> one row per batch of consecutive leads, with the prompt, stored by wave
 responses -> one row per batch, parsed and written before anything reads it
 scores    -> projections of the written responses; failed batches are scored by the rules
 
@@ -10,12 +10,14 @@ its batch, so the fallback needs no second look at the lead table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftline.config import (
     BATCH_SIZE,
@@ -23,6 +25,7 @@ from siftline.config import (
     DEFAULT_RUBRIC,
     DEFAULT_RULES,
     ID,
+    LEAD_COLUMNS,
     NEED,
     REASON,
     SCORE,
@@ -34,7 +37,7 @@ from siftline.functions.responses import parse_scores, strip_fence
 from siftline.operators.enrich import union_results
 from siftline.operators.ordering import BATCH_ID, ORDINAL, POSITION, assign_batches
 from siftline.operators.rules import score_leads
-from siftline.sources.store import materialize, new_path
+from siftline.sources.store import new_path
 
 # Asks a model: prompt in, response text out. Any exception makes its batch a failed one.
 Scorer = Callable[[str], str]
@@ -49,10 +52,18 @@ CONCURRENCY = 8
 # Requests whose answers are written together. A run that dies loses the answers of one wave at most.
 WAVE = 2_000
 
+REQUEST_COLUMNS = (BATCH_ID, "n_leads", "payload", "prompt")
+WAVE_NO = "wave"
+LANE = "lane"
+
 OK = "ok"
 FALLBACK = "fallback"
 
 
+class OtherLeads(ValueError):
+    """Answers of an earlier run that are not of these leads."""
+
+
 def prune_for_model(leads: DataFrame, *keep: str) -> DataFrame:
     """The two columns a model may see, as strings, and the named helper columns."""
     need = F.col(NEED) if NEED in leads.columns else F.lit(None)
@@ -73,20 +84,23 @@ def render_prompt(payload: Column, rubric: Rubric = DEFAULT_RUBRIC) -> Column:
 
 
 def build_requests(
-    batches: DataFrame, rubric: Rubric = DEFAULT_RUBRIC
+    batches: DataFrame, rubric: Rubric = DEFAULT_RUBRIC, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per batch: batch_id, n_leads, payload, prompt. A batch is a bounded group.
+    """One row per batch: batch_id, n_leads, payload, prompt, and the columns ``by`` that the rows of
+    a batch share. A batch is a bounded group; two leads at one place of it are an error.
 
     The rows move once, whole: a list has nothing to combine before the shuffle.
     """
     place = F.struct(POSITION, ID, NEED)
-    grouped = batches.groupBy(BATCH_ID).agg(
+    grouped = batches.groupBy(BATCH_ID, *by).agg(
         F.count("*").alias("n_leads"),
         F.sort_array(F.collect_list(place)).alias("_leads"),
     )
-    leads = F.transform("_leads", lambda x: F.struct(x[ID].alias(ID), x[NEED].alias(NEED)))
+    twice = F.size(F.array_distinct(f"_leads.{POSITION}")) < F.size("_leads")
+    checked = F.when(twice, F.raise_error(F.lit("two leads have one ordinal"))).otherwise(F.col("_leads"))
+    leads = F.transform(checked, lambda x: F.struct(x[ID].alias(ID), x[NEED].alias(NEED)))
     return grouped.select(
-        BATCH_ID, "n_leads", to_json_payload(leads).alias("payload")
+        BATCH_ID, "n_leads", to_json_payload(leads).alias("payload"), *by
     ).withColumn("prompt", render_prompt(F.col("payload"), rubric))
 
 
@@ -122,11 +136,30 @@ def _ask(make_scorer: ScorerFactory):
 def ask_model(requests: DataFrame, make_scorer: ScorerFactory) -> DataFrame:
     """Requests with the model's response or the error. Only the prompt goes through Python.
     Every action on this frame asks again, so it is written before anyone reads it."""
+    wave = [WAVE_NO] if WAVE_NO in requests.columns else []
     return requests.withColumn("_answer", _ask(make_scorer)("prompt")).select(
-        BATCH_ID, "n_leads", "payload", "_answer.response", "_answer.error"
+        BATCH_ID, "n_leads", "payload", *wave, "_answer.response", "_answer.error"
     )
 
 
+def store_requests(
+    requests: DataFrame, path: str, wave: int = WAVE, lanes: int = CONCURRENCY
+) -> DataFrame:
+    """``requests`` (or batches, see ``place_in_waves``) written in one folder a wave of ``wave``
+    consecutive batches, so that asking a wave reads its own files and no others."""
+    placed = requests if WAVE_NO in requests.columns else place_in_waves(requests, wave, lanes)
+    table = placed.select(*REQUEST_COLUMNS, WAVE_NO)
+    table.write.mode("overwrite").partitionBy(WAVE_NO).parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def place_in_waves(table: DataFrame, wave: int = WAVE, lanes: int = CONCURRENCY) -> DataFrame:
+    """``table`` with the ``wave`` of each batch, dealt so that a wave is ``lanes`` files at most. Batches
+    dealt so are grouped without another shuffle."""
+    number = F.expr(f"{BATCH_ID} div {wave}")
+    return table.withColumns({WAVE_NO: number, LANE: F.pmod(BATCH_ID, F.lit(lanes))}).repartition(WAVE_NO, LANE)
+
+
 def call_scorer(
     requests: DataFrame,
     make_scorer: ScorerFactory,
@@ -137,33 +170,43 @@ def call_scorer(
     """Ask the model once per request and write the answers: batch_id, n_leads, payload, response,
     error, and the parsed ``records``.
 
-    ``requests`` is a written table. It is asked in waves of consecutive batches, ``concurrency``
-    calls at a time; each wave is written before the next one starts. Batches that ``path`` has an
-    answer of are not asked again, so a run that died is taken up where it stopped by naming
-    its path.
+    ``requests`` is a written table; one that is not stored by wave yet is stored so first. Waves
+    that have batches are asked one after the other, ``concurrency`` calls at a time; each wave is
+    written before the next one starts. Requests that ``path`` has an answer of are not asked
+    again, so a run that died is taken up where it stopped by naming its path. Answers there of other
+    requests raise ``OtherLeads``.
     """
     spark = requests.sparkSession
     path = path or new_path(spark, "responses")
-    bounds = requests.agg(F.min(BATCH_ID).alias("low"), F.max(BATCH_ID).alias("high")).first()
-    done = _answered(spark, path)
-    for start in range(bounds["low"], bounds["high"] + 1, wave) if bounds["low"] is not None else ():
-        part = requests.where(F.col(BATCH_ID).between(start, start + wave - 1))
-        if done is not None:
-            part = part.join(done.select(BATCH_ID), BATCH_ID, "left_anti")
+    if WAVE_NO not in requests.columns:
+        requests = store_requests(requests, new_path(spark, "requests"), wave, concurrency)
+    shape = parse_responses(ask_model(requests, make_scorer)).schema
+    done = _stored(spark, path, shape)
+    # One number a wave, from the names of the folders.
+    waves = sorted(r[WAVE_NO] for r in requests.select(WAVE_NO).distinct().collect())
+    answered = {r[WAVE_NO] for r in done.select(WAVE_NO).distinct().collect()} if done else set()
+    if answered - set(waves):
+        raise OtherLeads(f"{path} has answers of other requests")
+    for number in waves:
+        part = requests.where(F.col(WAVE_NO) == number)
+        if number in answered:
+            there = done.where(F.col(WAVE_NO) == number).select(BATCH_ID, "payload")
+            if not there.join(part, [BATCH_ID, "payload"], "left_anti").isEmpty():
+                raise OtherLeads(f"{path} has answers of other requests")
+            part = part.join(there, [BATCH_ID, "payload"], "left_anti")
             if part.isEmpty():
                 continue
         asked = parse_responses(ask_model(part.repartition(concurrency, BATCH_ID), make_scorer))
-        asked.write.mode("append").parquet(path)
-    found = _answered(spark, path)
-    if found is None:
-        parse_responses(ask_model(requests, make_scorer)).write.parquet(path)
-        found = spark.read.parquet(path)
-    return found
+        asked.write.mode("append").partitionBy(WAVE_NO).parquet(path)
+    if not waves:
+        parse_responses(ask_model(requests, make_scorer)).write.mode("append").parquet(path)
+    return spark.read.schema(shape).parquet(path).drop(WAVE_NO)
 
 
-def _answered(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table at ``path``, if there is one."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException:
         return None
 
@@ -219,6 +262,60 @@ def run_fallback(
     return score_leads(leads, rules), leads.sparkSession.createDataFrame(rows, EMPTY_REPORT)
 
 
+def fingerprint(leads: DataFrame) -> tuple[int, str]:
+    """Number of leads, and a sum of hashes of what they say, whatever their order."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in LEAD_COLUMNS if c in leads.columns]
+    total = F.sum(F.xxhash64(*said, F.lit(0)).cast("decimal(20,0)"))
+    row = leads.agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).cast("string").alias("mark")).first()
+    return row["n"], row["mark"]
+
+
+def numbered_requests(
+    leads: DataFrame,
+    order_by: list[str] | None,
+    rubric: Rubric = DEFAULT_RUBRIC,
+    batch_size: int = BATCH_SIZE,
+    unique: bool = False,
+    path: str | None = None,
+    concurrency: int = CONCURRENCY,
+    mark: tuple[int, str] | None = None,
+) -> DataFrame:
+    """The requests of ``leads``, stored by wave.
+
+    With a ``path`` they are kept there and a manifest with them: which lead is in which batch at
+    which place, how many leads there are and what they say. A run that finds a manifest takes these
+    requests and numbers nothing, so that answers stay with the leads they were given for,
+    even if ties of ``order_by`` would now be cut otherwise. Leads, rubric or batch size other than
+    those of the manifest raise ``OtherLeads``.
+    """
+    spark = leads.sparkSession
+    manifest = None
+    if path:
+        n, said = mark or fingerprint(leads)
+        asked = hashlib.sha256(f"{batch_size}\0{rubric.head}\0{rubric.tail}".encode()).hexdigest()
+        manifest = (n, said, asked)
+        kept = _stored(spark, f"{path}/manifest")
+        if kept is not None:
+            if tuple(kept.first()) != manifest:
+                raise OtherLeads(f"{path} belongs to other leads, another rubric or batch size")
+            requests = _stored(spark, f"{path}/requests", _requests_schema())
+            return requests if requests is not None else spark.createDataFrame([], _requests_schema())
+    # Only what the model sees is numbered and shuffled, not the whole lead table.
+    order = [ORDINAL] if ORDINAL in leads.columns else order_by or []
+    narrow = prune_for_model(leads, *[c for c in order if c not in (ID, NEED)])
+    batches = place_in_waves(assign_batches(narrow, order_by, batch_size, unique), lanes=concurrency)
+    folder = f"{path}/requests" if path else new_path(spark, "requests")
+    requests = store_requests(build_requests(batches, rubric, (WAVE_NO, LANE)), folder)
+    if path:
+        one = spark.createDataFrame([manifest], "n bigint, said string, asked string")
+        one.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return requests
+
+
+def _requests_schema() -> StructType:
+    return StructType.fromDDL(f"{BATCH_ID} bigint, n_leads bigint, payload string, prompt string, {WAVE_NO} bigint")
+
+
 def score_with_model(
     leads: DataFrame,
     make_scorer: ScorerFactory | None,
@@ -229,9 +326,12 @@ def score_with_model(
     unique: bool = False,
     path: str | None = None,
     concurrency: int | None = None,
+    mark: tuple[int, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Score rows from the model and a report per batch. ``concurrency`` is the number of model
-    calls at a time, ``path`` the folder of the answers (see ``call_scorer``).
+    calls at a time. ``path`` names a folder that keeps requests, manifest and answers, so that a
+    run that died can be taken up (see ``numbered_requests``); ``mark`` is the ``fingerprint`` of the
+    leads it was started with, if these have been numbered since.
 
     Rules score a failed batch. They score all leads when there is no scorer, when it cannot be
     set up, or when no response names any lead.
@@ -243,13 +343,10 @@ def score_with_model(
     except Exception as e:
         return run_fallback(leads, rules, f"{type(e).__name__}: {e}")
 
-    # Only what the model sees is numbered and shuffled, not the whole lead table.
-    order = [ORDINAL] if ORDINAL in leads.columns else order_by or []
-    narrow = prune_for_model(leads, *[c for c in order if c not in (ID, NEED)])
-    batches = assign_batches(narrow, order_by, batch_size, unique)
-    requests = materialize(build_requests(batches, rubric), name="requests")
+    calls = concurrency or CONCURRENCY
+    requests = numbered_requests(leads, order_by, rubric, batch_size, unique, path, calls, mark)
     # Answers and what they parse to are written together: each is asked and parsed once.
-    parsed = call_scorer(requests, make_scorer, path, concurrency or CONCURRENCY)
+    parsed = call_scorer(requests, make_scorer, f"{path}/answers" if path else None, calls)
     scored = union_results(flatten_scores(parsed), batch_fallback(parsed, rules))
     report = batch_report(parsed)
     if scored.where(F.col(ID).isNotNull()).isEmpty():

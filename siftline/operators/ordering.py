@@ -146,9 +146,13 @@ def assign_batches(
 ) -> DataFrame:
     """Consecutive batches of ``size`` rows: ``batch_id`` from 0, ``pos`` in the batch from 0.
 
-    Uses an ``ordinal`` column that is already there, else numbers the rows first.
+    Uses an ``ordinal`` column that is already there, else numbers the rows first. A row without a
+    number in such a column would be in no batch; it makes the job fail.
     """
-    if ORDINAL not in leads.columns:
+    if ORDINAL in leads.columns:
+        none = F.raise_error(F.lit(f"a lead has no {ORDINAL}"))
+        leads = leads.withColumn(ORDINAL, F.coalesce(F.col(ORDINAL).cast("bigint"), none.cast("bigint")))
+    else:
         leads = number(leads, order_by, unique=unique)
     return leads.withColumns(
         {

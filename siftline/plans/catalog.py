@@ -59,6 +59,7 @@ from siftline.operators.model import (
     batch_report,
     build_requests,
     call_scorer,
+    numbered_requests,
     flatten_scores,
     parse_responses,
     prune_for_model,
@@ -200,6 +201,22 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def length_scorer():
+    """A model that gives every lead the length of its need, whatever batch it is in."""
+
+    def make():
+        return score
+
+    def score(prompt):
+        import json
+
+        leads, _ = json.JSONDecoder().raw_decode(prompt, prompt.index("\n[{") + 1)
+        sizes = [(x["id"], len(x["nhu_cau_mo_ta"])) for x in leads]
+        return json.dumps([{"id": i, "score": n, "classification": "HOT", "reason": f"len {n}"} for i, n in sizes])
+
+    return make
+
+
 def stub_scorer():
     """Factory of a scorer that answers by the first lead of a batch: an error, a fenced list, an
     object or a plain list. All nested, so that workers need no copy of this module."""
@@ -247,6 +264,14 @@ def _model_result(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over leads whose order has many ties, taken up where every other batch has its answer."""
+    leads, path = _numbered(spark, sf), new_path(spark, "resumed")
+    requests = numbered_requests(leads, [PHONE], path=path)
+    call_scorer(requests.where(F.col("batch_id") % 2 == 0), length_scorer(), f"{path}/answers")
+    return score_with_model(leads, length_scorer(), [PHONE], RULES, path=path)[0]
+
+
 def _final(spark: SparkSession, sf: str) -> DataFrame:
     leads = document_leads(spark, sf)
     return enrich(leads, score_leads(leads, RULES))
@@ -501,6 +526,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_report": lambda s, d: batch_report(_responses(s, d)),
         "run_fallback": _run_fallback,
         "score_with_model": lambda s, d: _model_result(s, d)[0],
+        "score_with_model_resumed": _resumed,
         "score_with_model_report": lambda s, d: _model_result(s, d)[1],
         # whole jobs
         "triage_kpis": lambda s, d: _counted(kpis(_result(s, d).stored)),

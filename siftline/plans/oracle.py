@@ -258,6 +258,8 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 2 THEN 'the response is not a JSON list of objects' END AS error FROM shapes""",
         "run_fallback": f"{docs} SELECT * FROM scored",
         "score_with_model": f"{MODEL} SELECT {SCORED_COLUMNS} FROM model UNION ALL SELECT {SCORED_COLUMNS} FROM fallback",
+        "score_with_model_resumed": """SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(coalesce(text, '')) AS DOUBLE) AS score,
+            'HOT' AS classification, 'len ' || length(coalesce(text, '')) AS reason FROM documents""",
         "score_with_model_report": f"""{SHAPES} SELECT batch_id, n_leads,
             CASE WHEN shape IN (0, 2) THEN 'fallback' ELSE 'ok' END AS status,
             CASE shape WHEN 0 THEN {_STUB_ERROR}

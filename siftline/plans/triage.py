@@ -31,7 +31,7 @@ from siftline.operators.metrics import (
     score_histogram,
     tally,
 )
-from siftline.operators.model import ScorerFactory, score_with_model
+from siftline.operators.model import ScorerFactory, fingerprint, score_with_model
 from siftline.operators.ordering import TIE, ORDINAL, ensure_id
 from siftline.operators.review import (
     apply_review_edits,
@@ -43,7 +43,7 @@ from siftline.operators.review import (
 from siftline.operators.rules import reject_score_columns, score_inline
 from siftline.sources.handover import arrange, export_handover
 from siftline.sources.leads import require_rows
-from siftline.sources.store import kept_path, materialize, scratch
+from siftline.sources.store import kept_path, materialize, once, scratch
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,9 @@ def run_pipeline(
 ) -> Result:
     """Score a lead table and keep the result; what it writes on the way is deleted.
 
-    ``responses`` names the folder of the model's answers. A run that finds answers there asks only
-    for the batches that have none.
+    ``responses`` names a folder that keeps what the model was asked and its answers, and the leads as
+    they were numbered if they had no ids. A run that finds these there numbers nothing again and asks
+    only for the batches that have no answer; leads other than those it was started with are refused.
 
     ``inline=True`` says that ids are unique: rule scores then need no join, nor the look at the
     id column that finds repeated ids. Numbered ids always are, so a table without ``id`` takes
@@ -102,7 +103,12 @@ def run_pipeline(
     spark = leads.sparkSession
     numbered = ID not in leads.columns
     with scratch(spark):
-        leads = ensure_id(leads, order_by, unique_order)
+        mark = fingerprint(leads) if responses and make_scorer else None
+        if numbered and mark:
+            whole = leads
+            leads = once(spark, f"{responses}/leads", lambda: ensure_id(whole, order_by, unique_order))
+        else:
+            leads = ensure_id(leads, order_by, unique_order)
         path = path or kept_path(spark, "final")
         if make_scorer is None:
             if numbered if inline is None else inline:
@@ -113,7 +119,7 @@ def run_pipeline(
         batched = leads.withColumn(ORDINAL, F.col(ID).cast("bigint")) if numbered else leads
         scored, report = score_with_model(
             batched, make_scorer, order_by, rules, rubric, batch_size, unique_order,
-            path=responses, concurrency=concurrency,
+            path=responses, concurrency=concurrency, mark=mark,
         )
         return Result(
             materialize(leads, path),

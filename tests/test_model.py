@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import shutil
 import sys
 import tempfile
 
@@ -15,7 +16,10 @@ from siftline.functions import parse_scores, strip_fence
 from siftline.operators.model import (
     assign_batches,
     build_requests,
+    OtherLeads,
     call_scorer,
+    place_in_waves,
+    store_requests,
     flatten_scores,
     parse_responses,
     score_with_model,
@@ -190,7 +194,7 @@ def test_concurrency_sets_the_number_of_tasks(spark, leads, tmp_path):
     requests = materialize(build_requests(assign_batches(leads, ["n"], 1, unique=True), RUBRIC))
     path = str(tmp_path / "responses")
     responses = call_scorer(requests, answering(good), path, concurrency=2)
-    assert len(list((tmp_path / "responses").glob("part-*"))) <= 2
+    assert len(list((tmp_path / "responses").glob("**/part-*.parquet"))) <= 2
     assert responses.count() == 45 and spark.read.parquet(path).count() == 45
     assert responses.where("size(records) <> 1").isEmpty()
 
@@ -300,3 +304,71 @@ def test_random_responses_equal_python(spark):
         plain = [x for x in want if x is None or isinstance(x, str)]
         assert [r.id for r in got[i]][: len(plain)] == plain or len(plain) < len(want), text
     assert valid > 100
+
+
+def tied(spark, tmp_path, n=400):
+    """Leads of one city, so that their order is a matter of ties."""
+    path = str(tmp_path / "tied")
+    table = spark.range(n).select(F.col("id").cast("string"), F.lit("hn").alias("city"), F.concat(F.lit("need "), "id").alias("nhu_cau_mo_ta"))
+    table.repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_resumed_run_scores_every_lead_once(spark, tmp_path, ids):
+    leads = tied(spark, tmp_path)
+    leads = leads if ids else leads.drop("id")
+    folder = str(tmp_path / "run")
+    shown = run_pipeline(leads, answering(good), ["city"], rubric=RUBRIC, responses=folder).final
+    first = {(r.id, r.nhu_cau_mo_ta, r.reason) for r in shown.collect()}
+    # As if the run had died: a copy with the answers of some batches only.
+    half = str(tmp_path / "half")
+    for part in ("manifest", "requests", "leads"):
+        if (tmp_path / "run" / part).exists():
+            shutil.copytree(f"{folder}/{part}", f"{half}/{part}")
+    answers = spark.read.parquet(f"{folder}/answers")
+    answers.where("batch_id % 3 > 0").write.partitionBy("wave").parquet(f"{half}/answers")
+    result = run_pipeline(leads, answering(good), ["city"], rubric=RUBRIC, responses=half)
+    assert {(r.id, r.nhu_cau_mo_ta, r.reason) for r in result.final.collect()} == first
+    assert result.final.count() == 400 and result.final.where("reason is null").isEmpty()
+    assert result.report.count() == 20 and result.scores.groupBy("id").count().where("count > 1").isEmpty()
+
+
+def test_answers_of_other_leads_are_refused(spark, tmp_path):
+    leads, folder = tied(spark, tmp_path), str(tmp_path / "run")
+    run_pipeline(leads, answering(good), ["city"], rubric=RUBRIC, responses=folder)
+    with pytest.raises(OtherLeads):
+        run_pipeline(leads.where("id <> '7'"), answering(good), ["city"], rubric=RUBRIC, responses=folder)
+    with pytest.raises(OtherLeads):
+        run_pipeline(leads, answering(good), ["city"], rubric=RUBRIC, batch_size=7, responses=folder)
+    requests = build_requests(assign_batches(leads, ["city"], 5), RUBRIC)
+    with pytest.raises(OtherLeads):
+        call_scorer(materialize(requests), answering(good), f"{folder}/answers")
+
+
+def test_a_wave_reads_its_own_files(spark, tmp_path):
+    leads = tied(spark, tmp_path)
+    batches = place_in_waves(assign_batches(leads, ["city"], 2), wave=50, lanes=2)
+    requests = build_requests(batches, RUBRIC, ("wave", "lane"))
+    assert requests._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    stored = store_requests(requests, str(tmp_path / "requests"))
+    assert sorted(x.name for x in (tmp_path / "requests").glob("wave=*")) == [f"wave={k}" for k in range(4)]
+    assert len(list((tmp_path / "requests").glob("wave=*/*.parquet"))) <= 8
+    one = stored.where("wave = 2")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(wave" in plan and "Batched: true" in plan
+    files = {x.rsplit("/", 2)[1] for x in one.inputFiles()}
+    assert one.count() == 50 and one.agg(F.min("batch_id")).first()[0] == 100
+    assert {r[0].rsplit("/", 2)[1] for r in one.select("_metadata.file_path").distinct().collect()} == {"wave=2"}, files
+
+
+def test_ordinals_that_no_batch_can_have(spark):
+    rows = [(str(k), "need", k + 1) for k in range(5)]
+    schema = "id string, nhu_cau_mo_ta string, ordinal bigint"
+    for bad in (None, 3):
+        leads = spark.createDataFrame([*rows, ("x", "need", bad)], schema)
+        with pytest.raises(Exception, match="ordinal"):
+            score_with_model(leads, answering(good), rubric=RUBRIC)
+    far = spark.createDataFrame([*rows, ("x", "need", 10**15)], schema)
+    scored, report = score_with_model(far, answering(good), rubric=RUBRIC)
+    assert scored.count() == 6 and report.count() == 2
