@@ -87,6 +87,7 @@ RESERVED = (
     "_tie",
     "_vip",
     "ordinal",
+    "review_part",
     "row_id",
 )
 

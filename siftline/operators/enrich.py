@@ -23,7 +23,7 @@ from siftline.config import (
     RuleBook,
 )
 from siftline.operators.rules import reject_score_columns, score_inline, score_leads
-from siftline.sources.store import materialize
+from siftline.sources.store import fresh, materialize
 
 # Copies are made in blocks, so that a row wanted very often never needs one huge array. A block is
 # also the least that is worth moving to another task.
@@ -34,7 +34,6 @@ BLOCK_STEP = 65_536
 CROWD = 1_000
 
 COPY_NO = "_copy"
-_PART = "_part"
 _BLOCK = "_block"
 
 _SCORED_ID = "_scored_id"
@@ -69,8 +68,9 @@ def enrich_crowded(leads: DataFrame, scored: DataFrame, crowd: int = CROWD) -> D
     """
     reject_score_columns(leads)
     right = materialize(distinct_scores(scored).withColumnRenamed(ID, _SCORED_ID), name="scores")
-    sizes = right.groupBy(F.col(_SCORED_ID).alias("_crowd_id")).agg(F.count("*").alias("_n"))
-    many = sizes.where(F.col("_n") > crowd).select("_crowd_id", F.expr(f"(_n - 1) div {crowd} + 1").alias("_parts"))
+    crowd_id, n, parts, lead_part, score_part = fresh(leads, "_crowd_id", "_n", "_parts", "_lead_part", "_score_part")
+    sizes = right.groupBy(F.col(_SCORED_ID).alias(crowd_id)).agg(F.count("*").alias(n))
+    many = sizes.where(F.col(n) > crowd).select(crowd_id, F.expr(f"({n} - 1) div {crowd} + 1").alias(parts))
     many = materialize(many, name="crowded")
 
     def left_join(table: DataFrame, scores: DataFrame) -> DataFrame:
@@ -79,15 +79,15 @@ def enrich_crowded(leads: DataFrame, scored: DataFrame, crowd: int = CROWD) -> D
 
     if many.isEmpty():
         return left_join(leads, right)
-    of_lead = leads[ID].eqNullSafe(many["_crowd_id"])
-    of_score = right[_SCORED_ID].eqNullSafe(many["_crowd_id"])
+    of_lead = leads[ID].eqNullSafe(many[crowd_id])
+    of_score = right[_SCORED_ID].eqNullSafe(many[crowd_id])
     few = left_join(leads.join(many, of_lead, "left_anti"), right.join(many, of_score, "left_anti"))
-    part = F.pmod(F.xxhash64(*SCORE_COLUMNS), F.col("_parts"))
-    scores = right.join(many, of_score).withColumn(_PART, part).drop("_crowd_id", "_parts")
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
-    dealt = leads.join(many, of_lead).withColumn("_lead_part", every).drop("_crowd_id", "_parts")
-    same = dealt[ID].eqNullSafe(scores[_SCORED_ID]) & (dealt["_lead_part"] == scores[_PART])
-    crowded = dealt.join(scores, same).drop("_lead_part", _PART, _SCORED_ID)
+    part = F.pmod(F.xxhash64(*SCORE_COLUMNS), F.col(parts))
+    scores = right.join(many, of_score).withColumn(score_part, part).drop(crowd_id, parts)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+    dealt = leads.join(many, of_lead).withColumn(lead_part, every).drop(crowd_id, parts)
+    same = dealt[ID].eqNullSafe(scores[_SCORED_ID]) & (dealt[lead_part] == scores[score_part])
+    crowded = dealt.join(scores, same).drop(lead_part, score_part, _SCORED_ID)
     return few.unionByName(crowded)
 
 

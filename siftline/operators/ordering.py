@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.config import BATCH_SIZE, ID
-from siftline.sources.store import materialize
+from siftline.sources.store import fresh, materialize
 
 ORDINAL = "ordinal"
 BATCH_ID = "batch_id"
@@ -75,10 +75,11 @@ def number_by_file(table: DataFrame, name: str = ORDINAL) -> DataFrame:
     whole = (F.col("_n") == F.col("_rows")) & (F.col("_sum") * 2 == F.col("_n").cast("decimal(19,0)") * (F.col("_n") - 1))
     if not sizes.where(~whole).isEmpty():
         return number_rows(placed, [F.col(c).asc() for c in where], name, unique=True).drop(*where)
+    (start,) = fresh(placed, "_before")
     by_name = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(_FILE, F.coalesce(F.sum("_n").over(by_name), F.lit(0)).alias("_before"))
+    before = sizes.select(_FILE, F.coalesce(F.sum("_n").over(by_name), F.lit(0)).alias(start))
     numbered = placed.join(before, _FILE)
-    return numbered.withColumn(name, F.col("_before") + F.col(_FILE_ROW) + 1).drop(*where, "_before")
+    return numbered.withColumn(name, F.col(start) + F.col(_FILE_ROW) + 1).drop(*where, start)
 
 
 def number_rows(
@@ -87,8 +88,10 @@ def number_rows(
     name: str = ORDINAL,
     unique: bool = False,
     written: bool = False,
+    part: str | None = None,
 ) -> DataFrame:
-    """Number rows 1..n in the given order without one task that sees all rows.
+    """Number rows 1..n in the given order without one task that sees all rows. ``part`` names a
+    column for the number of the range that a row is in.
 
     Rows are range-partitioned and sorted, then written with their partition and their place in
     it. The written table is what makes the numbers stable: range bounds are sampled, so a second
@@ -111,13 +114,13 @@ def number_rows(
     stored = materialize(placed, name="numbered")
     sizes = sorted(stored.groupBy(_PART).agg(F.count("*")).collect())
     starts = accumulate((n for _, n in sizes), initial=1)
+    (first,) = fresh(stored, "_start")
     offsets = spark.createDataFrame(
-        [(part, start) for (part, _), start in zip(sizes, starts)], f"{_PART} int, _start bigint"
+        [(k, start) for (k, _), start in zip(sizes, starts)], f"{_PART} int, {first} bigint"
     )
     numbered = stored.join(F.broadcast(offsets), _PART)
-    return numbered.withColumn(name, F.col("_start") + F.col(_IN_PART)).drop(
-        _PART, _IN_PART, "_start"
-    )
+    numbered = numbered.withColumn(name, F.col(first) + F.col(_IN_PART)).drop(_IN_PART, first)
+    return numbered.withColumnRenamed(_PART, part) if part else numbered.drop(_PART)
 
 
 def number(

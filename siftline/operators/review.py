@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegerType, NumericType, StructField, StructType
 
 from siftline.config import CLASS, CLASSES, COPIES, ID, NAME, NEED, PHONE, REASON, SCORE
 from siftline.functions.repair import (
@@ -18,7 +21,7 @@ from siftline.functions.repair import (
 from siftline.operators.enrich import COPY_NO, expand_copies
 from siftline.operators.ordering import TIE, number_rows, with_tie_break
 from siftline.sources.handover import ROW_ID
-from siftline.sources.store import materialize
+from siftline.sources.store import fresh, materialize
 
 OP = "op"
 EDIT_SEQ = "edit_seq"
@@ -28,6 +31,10 @@ INSERT = "insert"
 # Names of the cells of an update that are to be emptied.
 CLEARED = "cleared"
 LOCKED = (ID, NEED)
+# The range of numbers that a stored review row is in.
+REVIEW_PART = "review_part"
+# As many edited rows are sent to every task; with more, rows and edits are joined by shuffling.
+FEW_EDITS = 100_000
 
 
 def score_is_number(table: DataFrame) -> bool:
@@ -58,11 +65,51 @@ def review_order(final: DataFrame, written: bool = False) -> DataFrame:
     return full.orderBy(*order).drop(TIE, COPY_NO)
 
 
-def number_for_review(final: DataFrame, written: bool = False) -> DataFrame:
+def number_for_review(final: DataFrame, written: bool = False, part: str | None = None) -> DataFrame:
     """The full table with ``row_id`` 1..n in review order. Edits refer to rows by it, since an
-    id may stand in several rows."""
+    id may stand in several rows. ``part`` names a column for the range of numbers a row is in."""
     full, order = spread_copies(final, written)
-    return number_rows(full, order, ROW_ID, unique=True).drop(TIE, COPY_NO)
+    return number_rows(full, order, ROW_ID, unique=True, part=part).drop(TIE, COPY_NO)
+
+
+def store_review(review: DataFrame, path: str) -> DataFrame:
+    """Write a numbered table in one folder a range of numbers (column ``review_part``), and beside it
+    the first number and the length of each range. Rows do not move: a range lies in few files."""
+    columns = [c for c in review.columns if c != REVIEW_PART]
+    sorted_ = review.sortWithinPartitions(REVIEW_PART, ROW_ID)
+    sorted_.write.mode("errorifexists").partitionBy(REVIEW_PART).parquet(f"{path}/rows")
+    stored = _parts(review.sparkSession, path, review.select(*columns).schema)
+    # By the name that its files give it, so that the same table can be told again.
+    path = _folder(stored) or path
+    stored = _parts(review.sparkSession, path, review.select(*columns).schema)
+    ranges = stored.groupBy(REVIEW_PART).agg(F.min(ROW_ID).alias("first"), F.count("*").alias("n"))
+    ranges.coalesce(1).write.mode("errorifexists").parquet(f"{path}/ranges")
+    return stored.select(*columns)
+
+
+def _folder(review: DataFrame) -> str | None:
+    """Where a stored review table lies."""
+    files = review.inputFiles()
+    found = re.fullmatch(rf"(.*)/rows/{REVIEW_PART}=\d+/[^/]*", unquote(files[0])) if files else None
+    return found and found[1]
+
+
+def _parts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    fields = [StructField(f.name, f.dataType) for f in schema]
+    part = StructField(REVIEW_PART, IntegerType())
+    return spark.read.schema(StructType([*fields, part])).parquet(f"{path}/rows")
+
+
+def review_parts(review: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """A review table as ``store_review`` gave it: with the column ``review_part``, and its ranges. None
+    for any other table, filtered or changed ones too."""
+    spark, path = review.sparkSession, _folder(review)
+    if not path:
+        return None
+    whole = _parts(spark, path, review.schema)
+    if not whole.select(*review.columns).sameSemantics(review):
+        return None
+    return whole, spark.read.parquet(f"{path}/ranges")
 
 
 def repair_for_review(final: DataFrame) -> DataFrame:
@@ -92,12 +139,20 @@ def validate_edits(edits: DataFrame, review: DataFrame) -> tuple[DataFrame, Data
     """
     types = dict(review.dtypes)
     given = [c for c in edits.columns if c in types and c != ROW_ID]
+    parts = review_parts(review)
+    there, two_values = fresh(edits, "_there", "_two")
+    if parts:
+        # Numbers run from 1 without a gap: how many there are is all that is asked of the table.
+        rows = parts[1].agg(F.sum("n")).first()[0] or 0
+        table = edits.withColumn(there, F.when(F.col(ROW_ID).between(1, rows), F.lit(True)))
+    else:
+        table = edits.join(review.select(ROW_ID, F.lit(True).alias(there)).distinct(), ROW_ID, "left")
     change = F.coalesce(F.col(OP).isin(UPDATE, DELETE), F.lit(False))
     update = F.coalesce(F.col(OP) == UPDATE, F.lit(False))
     checks = [
         (~F.coalesce(F.col(OP).isin(UPDATE, DELETE, INSERT), F.lit(False)), "unknown operation"),
         (change & F.col(ROW_ID).isNull(), "no row"),
-        (change & F.col("_there").isNull(), "unknown row"),
+        (change & F.col(there).isNull(), "unknown row"),
     ]
     if SCORE in edits.columns:
         score = F.col(SCORE)
@@ -113,14 +168,13 @@ def validate_edits(edits: DataFrame, review: DataFrame) -> tuple[DataFrame, Data
     for c in given:
         if c not in (SCORE, CLASS) and types[c] != "string":
             checks.append((F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull(), f"unreadable {c}"))
-    table = edits.join(review.select(ROW_ID, F.lit(True).alias("_there")).distinct(), ROW_ID, "left")
     if EDIT_SEQ not in edits.columns and (cells := [c for c in given if c not in LOCKED]):
         two = F.lit(False)
         for c in cells:
             two = two | F.coalesce(F.min(c) != F.max(c), F.lit(False))
-        twice = edits.where(update).groupBy(ROW_ID).agg(two.alias("_two"))
-        table = table.join(twice.where("_two"), ROW_ID, "left")
-        checks.append((update & F.coalesce("_two", F.lit(False)), "two values and no order"))
+        twice = edits.where(update).groupBy(ROW_ID).agg(two.alias(two_values))
+        table = table.join(twice.where(F.col(two_values)), ROW_ID, "left")
+        checks.append((update & F.coalesce(two_values, F.lit(False)), "two values and no order"))
     found = F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks])
     checked = table.withColumn("rejected", found).select(*edits.columns, "rejected")
     valid = checked.where(F.col("rejected").isNull()).drop("rejected")
@@ -150,7 +204,14 @@ def one_edit_per_row(edits: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
-    """The review table after the edits; inserted rows have no ``row_id``.
+    """The review table after the edits; inserted rows have no ``row_id``."""
+    kept, new, _ = edited(review, edits)
+    return kept.unionByName(new)
+
+
+def edited(review: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of the review table after the edits, the inserted rows, which have no ``row_id``, and the
+    number of rows that were updated or deleted.
 
     A cell of an update that is NULL leaves the value as it is. ``id`` and the description are
     locked: updates do not touch them.
@@ -162,7 +223,7 @@ def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
     editable = [
         c
         for c in review.columns
-        if c not in (*LOCKED, ROW_ID) and (c in edits.columns or CLEARED in edits.columns)
+        if c not in (*LOCKED, ROW_ID, REVIEW_PART) and (c in edits.columns or CLEARED in edits.columns)
     ]
     types = dict(review.dtypes)
 
@@ -175,6 +236,9 @@ def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
 
     taken = edits.withColumns({c: typed(c) for c in editable}) if editable else edits
     changes = materialize(one_edit_per_row(taken, editable), name="edits")
+    n = changes.count()
+    if n <= FEW_EDITS:
+        changes = F.broadcast(changes)
     joined = review.join(changes, ROW_ID, "left").where(~F.coalesce("_deleted", F.lit(False)))
     kept = joined.select(
         *[
@@ -190,4 +254,4 @@ def apply_review_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
             for c in review.columns
         ]
     )
-    return kept.unionByName(new)
+    return kept, new, n

@@ -408,12 +408,12 @@ def _counted(counts: DataFrame) -> DataFrame:
 
 
 def _csv_leads(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as CSV files of very different sizes, whose rows end up in document order: numbered
-    in ranges, so that names follow the order."""
+    """Documents as CSV files of different sizes, whose rows end up in document order: numbered in
+    ranges, so that names follow the order, as many as the session has shuffle partitions."""
     path = new_path(spark, "csv")
     docs = _table(spark, sf, "documents").select("doc_id", F.col("lang").alias(PHONE), F.col("text").alias(NEED))
-    part = F.when(F.col("doc_id") < 3, 0).when(F.col("doc_id") < 150, 1).otherwise(2)
-    spread = docs.withColumn("part", part).repartitionByRange(3, "part").sortWithinPartitions("doc_id").drop("part")
+    part = F.when(F.col("doc_id") < 3, 0).when(F.col("doc_id") < 150, 1).otherwise(F.col("doc_id"))
+    spread = docs.withColumn("part", part).repartitionByRange("part").sortWithinPartitions("doc_id").drop("part")
     spread.write.options(**CSV_WRITE_OPTIONS).csv(path)
     return spark.read.schema(docs.schema).options(**CSV_OPTIONS).csv(path)
 
@@ -422,7 +422,7 @@ def _filtered_leads(spark: SparkSession, sf: str) -> DataFrame:
     """Some rows of several parquet files."""
     path = new_path(spark, "parts")
     docs = _table(spark, sf, "documents").select("doc_id", F.col("lang").alias(PHONE))
-    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
     return spark.read.parquet(path).where(F.col(PHONE) == "en")
 
 

@@ -34,14 +34,19 @@ from siftline.operators.metrics import (
 from siftline.operators.model import ScorerFactory, fingerprint, score_with_model
 from siftline.operators.ordering import TIE, ORDINAL, ensure_id
 from siftline.operators.review import (
+    FEW_EDITS,
+    REVIEW_PART,
     apply_review_edits,
+    edited,
     number_for_review,
     repair_for_review,
+    review_parts,
     spread_copies,
+    store_review,
     validate_edits,
 )
 from siftline.operators.rules import reject_score_columns, score_inline
-from siftline.sources.handover import arrange, export_handover
+from siftline.sources.handover import arrange, export_handover, export_parts
 from siftline.sources.leads import require_rows
 from siftline.sources.store import kept_path, materialize, once, scratch
 
@@ -148,8 +153,8 @@ def make_review(stored: DataFrame, path: str | None = None) -> DataFrame:
     and what their edits refer to; it is made once. ``stored`` is the kept result, as written."""
     spark = stored.sparkSession
     with scratch(spark):
-        review = repair_for_review(number_for_review(stored, written=True))
-        return materialize(review, path or kept_path(spark, "review"))
+        review = repair_for_review(number_for_review(stored, written=True, part=REVIEW_PART))
+        return store_review(review, path or kept_path(spark, "review"))
 
 
 def export_result(stored: DataFrame, path: str, format: str = "parquet") -> str:
@@ -164,14 +169,23 @@ def review_and_export(
     """Apply the edits to the written review table and write the hand-over, in the order of the
     review. Returns the rejected edits, written, if any edits were given.
 
-    Rows keep the numbers that the reviewers saw, wherever the table lies now. The one shuffle of
-    whole rows is the one that puts them in order for the files.
+    Rows keep the numbers that the reviewers saw, wherever the table lies now. The review table lies in
+    ranges of numbers, so its rows are read and written where they are: edits go to them, and only
+    inserted rows are put in order. Other tables, and very many edits, take a range shuffle.
     """
-    if edits is None:
-        export_handover(review, path, format)
-        return None
     spark = review.sparkSession
+    parts = review_parts(review)
     with scratch(spark):
-        valid, rejected = validate_edits(edits, review)
-        export_handover(apply_review_edits(review, valid), path, format)
-        return materialize(rejected, kept_path(spark, "rejected"))
+        if edits is not None:
+            valid, rejected = validate_edits(edits, review)
+        if parts is None:
+            export_handover(review if edits is None else apply_review_edits(review, valid), path, format)
+        else:
+            rows, ranges = parts
+            last = ranges.agg(F.max(REVIEW_PART)).first()[0]
+            kept, new, n = (rows, rows.limit(0), 0) if edits is None else edited(rows, valid)
+            if n <= FEW_EDITS:
+                export_parts(kept, new, REVIEW_PART, (last if last is not None else -1) + 1, path, format)
+            else:
+                export_handover(kept.unionByName(new).drop(REVIEW_PART), path, format)
+        return None if edits is None else materialize(rejected, kept_path(spark, "rejected"))

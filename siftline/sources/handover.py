@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import ID, LEAD_COLUMNS, NAME, NEED, PHONE, REASON, SCORE_COLUMNS
 from siftline.sources.leads import CSV_OPTIONS, CSV_WRITE_OPTIONS
+from siftline.sources.store import fresh
 
 # Place in review order; not handed over.
 ROW_ID = "row_id"
@@ -40,6 +41,54 @@ def export_handover(
     return path
 
 
+def export_parts(
+    table: DataFrame, new: DataFrame, part: str, parts: int, path: str, format: str = "parquet"
+) -> str:
+    """Write ``table``, whose rows lie together by ``part`` (0 to ``parts`` - 1, in row-number order), and
+    the rows ``new`` after them, by id; return ``path``.
+
+    Files and their names are as ``export_handover`` writes them, but only the new rows move. A task
+    sorts what it has read and writes each part to a folder of its own; at the end the files are renamed, in
+    the order of their folders, and then a mark tells that the hand-over is whole.
+    """
+    spark = table.sparkSession
+    known = [c for c in (*LEAD_COLUMNS, *SCORE_COLUMNS) if c in table.columns]
+    order = [F.col(c) for c in known if c == ID] + ([F.xxhash64(*known)] if known else [])
+    if order:
+        new = new.repartitionByRange(*order)
+    (key,) = fresh(table, "_key")
+    new = new.withColumns({part: F.lit(parts) + F.spark_partition_id(), key: F.xxhash64(*known) if known else F.lit(0)})
+    both = table.withColumn(key, F.lit(0).cast("bigint")).unionByName(new)
+    ids = [ID] if ID in known else []
+    both = both.sortWithinPartitions(part, ROW_ID, *ids, key).drop(ROW_ID, key)
+    writer = both.write.mode("errorifexists").partitionBy(part)
+    if format == "csv":
+        writer = writer.options(**CSV_WRITE_OPTIONS)
+    fs, folder = _folder(spark, path)
+    if fs.exists(folder):
+        raise FileExistsError(path)
+    inner = f"{path}/_parts"
+    writer.format(format).save(inner)
+    _, top = _folder(spark, inner)
+    found = sorted(
+        (int(d.getPath().getName().split("=")[1]), f.getPath().getName(), f.getPath())
+        for d in fs.listStatus(top) if d.isDirectory() and "=" in d.getPath().getName()
+        for f in fs.listStatus(d.getPath())
+    )
+    for number, (_, name, file) in enumerate(found):
+        # part-00003-<job>...: the number becomes the place of the file.
+        _, target = _folder(spark, f"{path}/part-{number:05d}-{name.split('-', 2)[2]}")
+        fs.rename(file, target)
+    fs.delete(top, True)
+    fs.create(_folder(spark, f"{path}/_SUCCESS")[1]).close()
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def read_handover(spark: SparkSession, path: str, schema, format: str = "parquet") -> DataFrame:
     """Hand-over table as written. CSV has no empty text, only missing cells, so missing text in
     columns that were repaired before the export is empty text again."""

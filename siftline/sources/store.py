@@ -45,8 +45,23 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield path
     finally:
         _run.reset(token)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
+
+
+def fresh(table: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``table`` has, for helper columns on the way."""
+    taken, found = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
