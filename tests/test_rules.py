@@ -281,3 +281,21 @@ def test_scoring_plan(spark):
     plan = score_leads(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and plan.count("lower(") == 1
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_long_lists_equal_short_ones(spark, empty):
+    """The automaton gives the phrase that the chain gives: list order, phrases inside others, repeats."""
+    rng = random.Random(9)
+    letters = "abcé\U0001f600 \x00"
+    phrases = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(150)]
+    phrases[40:60] = phrases[:20]
+    if empty:
+        phrases[90] = ""
+    texts = ["".join(rng.choice(letters + "xyz") for _ in range(rng.randint(0, 6))) for _ in range(500)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hit = first_keyword(F.col("t"), phrases)
+    assert "pythonUDF" in df.select(hit)._jdf.queryExecution().executedPlan().toString()
+    got = [(r[0], r[1]) for r in df.select("t", hit).collect()]
+    assert got == [(t, None if t is None else next((p for p in phrases if p in t), None)) for t in texts]
+    assert len({p for _, p in got}) > 10
