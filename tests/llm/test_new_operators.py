@@ -301,3 +301,26 @@ def test_a_table_compares_whole_texts():
     assert [many.place(k % 7, b"%d" % k) for k in range(5_000)] == list(range(5_000))
     assert [many.place(k % 7, b"%d" % k) for k in range(5_000)] == list(range(5_000))
     assert exact.Table(10).place(1, b"y" * 100) == 0
+
+
+# The words of operator 9
+
+def test_packing_ids_equal_the_library(monkeypatch):
+    from siftline.llm import packing
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, codec = Tokenizer.from_file(path), packing.Encoder(path)
+    codec.known.room = 50_000
+    rng = random.Random(10)
+    parts = [*ODD, "FOO's", "<|ENDOFTEXT|>", "I'm.", "(x)", "\"'s", "Ḱ", "İ", "ΑΣ.", "öü.", "×.", "÷.", "Ö$", "ª!", "ÿ/x", "É-é", "ſ.", "ǅ", "İı."]
+    parts += ["enzuä.'s", "a|.", "<|start", "of", "text|>", "<", ">", "x'LL", "a)b", "$$$", "Ab", "<|startoftext|>.", "字" * 300]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3_000)] + [t or "" for t in small_texts()]
+    for a in range(0, len(texts), 500):
+        some = texts[a : a + 500]
+        ids, starts = codec.encode([t.encode() for t in some])
+        for text, x, y in zip(some, starts, starts[1:]):
+            assert ids[x:y].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert not any(len(w) > 64 for w in [*codec.known.young, *codec.known.old])
