@@ -23,7 +23,7 @@ def result(spark, n):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_embeddings(spark):
@@ -120,3 +120,16 @@ def test_pipeline(spark, docs):
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in final} == seen[-1]
     gapless(final, 4096)
+
+
+def test_new_queries_equal_their_sql(spark):
+    import duckdb
+    from siftline.llm.queries import oracle_sql
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name, sql in oracle_sql().items():
+        result = db.execute(sql)
+        names = [d[0] for d in result.description]
+        got = QUERIES[name](spark, SF).select(*names).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, result.fetchall())) and got
