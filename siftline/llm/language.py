@@ -10,14 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import held_out, need, sliced
+from siftline.llm.common import GOLDEN, held_out, need, sliced, written
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 100
 LANGUAGE_CHARS = 20_000
-LETTERS = 120
+LANGUAGES_SENT = 100_000
 BLOCK = 256
-PAD, OTHER, GAP = 0, 1, 2
+# Letters are their code points; two numbers beyond those, and a state that no letter leads out of.
+GAP, PAD = 0x110000, 0x110001
+BITS = 21
+VOID = 0
+EMPTY = -1
+SPARE = 2.5
+STEP_STATES = 1 << 15
 
 
 def _shares(lengths: list[int], room: int) -> list[int]:
@@ -44,7 +50,10 @@ def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> tuple[tupl
     ).where(F.length("text") > 0)
     # Drawn from ids and languages alone; only then are excerpts of the few drawn rows fetched.
     narrow = known.select("doc_id", "lang")
-    counts = narrow.groupBy("lang").count()
+    counts = narrow.groupBy("lang").count().transform(written, "languages")
+    # One row a language: sent to the rows, so that a language of most rows is not one task's.
+    if counts.count() <= LANGUAGES_SENT:
+        counts = F.broadcast(counts)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((1 << 30) * per_language) / F.col("count")
     drawn = narrow.join(counts, "lang").where(part).select("doc_id", "lang").distinct().collect()
     ids = docs.sparkSession.createDataFrame(drawn, "doc_id long, lang string")
@@ -92,47 +101,76 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Moves:
+    """Moves of many states as one table of (state, letter), open-addressed, looked up for many at once.
+
+    It holds the moves that exist and no others, so its size follows the samples and not the
+    alphabets: every letter of every language keeps its own number.
+    """
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        bits = max(1, int(len(keys) * SPARE).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, EMPTY, np.int64), np.zeros(1 << bits, np.int32)
+        left, at = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.keys[at] == EMPTY
+            self.keys[at[free]] = keys[left[free]]
+            # Of several keys that wrote to one slot the last stays, the others go on.
+            there = self.keys[at] == keys[left]
+            self.to[at[there]] = to[left[there]]
+            left, at = left[~there], (at[~there] + 1) & self.last
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * GOLDEN) >> self.shift).view(np.int64)
+
+    def __call__(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each (VOID if there is none), and which have none."""
+        keys = state << BITS
+        keys |= letter
+        at = self._slots(keys)
+        out = self.to.take(at).astype(np.int64)
+        left = np.flatnonzero(self.keys.take(at) != keys)
+        none = [left[:0]]
+        at, keys = at[left], keys[left]
+        while len(left):
+            found = self.keys[at]
+            hit, end = found == keys, found == EMPTY
+            out[left[hit]] = self.to[at[hit]]
+            none.append(left[end])
+            on = ~(hit | end)
+            left, at, keys = left[on], (at[on] + 1) & self.last, keys[on]
+        none = np.concatenate(none)
+        out[none] = VOID
+        return out, none
+
+
 class Parser:
-    """The automata of all languages as one table, run over blocks of many texts in step.
+    """The automata of all languages in one table of moves, run over blocks of many texts in step.
 
-    An entry is the place of the next state's row, shifted, and whether the phrase ended: where no
-    move fits, a new phrase starts with this letter.
+    Where no move fits, a phrase has ended and a new one starts with this letter. A letter that a
+    language lacks is two phrases, an empty match and the letter itself, so that it costs more than one
+    that the language has.
     """
 
     def __init__(self, sample: tuple[tuple[str, str], ...]):
         self.languages = [k for k, _ in sample]
-        self.letter = np.zeros(0x110000, bool)
-        every = np.arange(0x110000)
-        self.letter[:] = [chr(i).isalpha() for i in every]
-        seen = np.bincount(
-            np.concatenate([self._points(t) for _, t in sample] or [np.zeros(0, np.uint32)]), minlength=1
-        )
-        seen[~self.letter[: len(seen)]] = 0
-        top = [int(c) for c in np.argsort(-seen, kind="stable")[:LETTERS] if seen[c]]
-        self.code = np.full(0x110000, GAP, np.uint8)
-        self.code[self.letter] = OTHER
-        self.code[top] = np.arange(len(top)) + 3
-        self.width = len(top) + 3
-        tables, self.roots, base = [], [], 0
+        self.letter = np.array([chr(i).isalpha() for i in range(0x110000)], bool)
+        keys, to, roots, base = [], [], [], VOID + 1
         self.size = []
         for _, text in sample:
             codes = self._codes(text)
             moves = suffix_automaton(codes.tolist())
-            table = np.full((len(moves), self.width), -1, np.int64)
-            for s, row in enumerate(moves):
-                for c, to in row.items():
-                    table[s, c] = to
-            restart = np.where(table[0] >= 0, table[0], 0)
-            ended = table < 0
-            table = np.where(ended, restart[None, :], table)
-            ended[:, PAD] = False
-            table[:, PAD] = 0
-            # A letter that the language lacks is a phrase of its own at the start as well.
-            tables.append((((table + base) * self.width) << 1 | ended).astype(np.int32))
-            self.roots.append(base * self.width)
+            n = np.array([len(m) for m in moves])
+            state = np.repeat(np.arange(len(moves), dtype=np.int64) + base, n)
+            keys.append(state << BITS | np.fromiter((c for m in moves for c in m), np.int64, int(n.sum())))
+            to.append((np.fromiter((x for m in moves for x in m.values()), np.int64, int(n.sum())) + base).astype(np.int32))
+            roots.append(base)
             self.size.append(max(2, len(codes)))
             base += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.roots = np.array(roots, np.int64)
+        none = np.zeros(0, np.int64)
+        self.moves = Moves(np.concatenate(keys or [none]), np.concatenate(to or [none.astype(np.int32)]))
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
@@ -140,13 +178,30 @@ class Parser:
 
     def _codes(self, text: str) -> np.ndarray:
         """Letters by number; runs of anything else are one gap."""
-        codes = self.code[self._points(text)]
+        points = self._points(text)
+        codes = np.where(self.letter[points], points, GAP).astype(np.int32)
         gap = codes == GAP
         gap[1:] &= gap[:-1].copy()
         if len(gap):
             gap[0] = codes[0] == GAP
         return codes[~gap]
 
+    def phrases(self, blocks: np.ndarray) -> np.ndarray:
+        """Phrases that each language (rows) needs for each block (columns); a block ends at its first PAD."""
+        n = len(blocks)
+        state = np.full(len(self.languages) * n, VOID, np.int64)
+        count = np.zeros(len(state), np.int32)
+        for letters in np.ascontiguousarray(blocks.T).astype(np.int64):
+            on = letters != PAD
+            if not on.any():
+                break
+            state, ended = self.moves(state, np.tile(letters, len(self.languages)))
+            ended = ended[on[ended % n]]
+            state[ended], lacking = self.moves(self.roots[ended // n], letters[ended % n])
+            count[ended] += 1
+            count[ended[lacking]] += 1
+        return count.reshape(-1, n)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language that parses each text into the fewest phrases, each weighted by the bits that
         point into its sample; and how clearly, from 0 to 1. Blocks of a text are parsed apart
@@ -157,21 +212,19 @@ class Parser:
         if not has.any() or not self.languages:
             return found, scores
         blocks = np.array([-(-len(c) // BLOCK) for c in codes])
-        grid = np.zeros((int(blocks.sum()), BLOCK), np.uint8)
+        grid = np.full((int(blocks.sum()), BLOCK), PAD, np.int32)
         starts = np.cumsum(blocks) - blocks
         lines = grid.reshape(-1)
         for c, a in zip(codes, starts.tolist()):
             lines[a * BLOCK : a * BLOCK + len(c)] = c
-        step = np.ascontiguousarray(grid.T).astype(np.int32)
-        state = np.repeat(np.array(self.roots, np.int32), len(grid)).reshape(len(self.roots), -1)
-        phrases = np.zeros(state.shape, np.int32)
-        for row in step:
-            move = self.table[state + row]
-            phrases += move & 1
-            state = move >> 1
         owner = np.repeat(np.arange(len(texts)), blocks)
-        cost = np.stack([np.bincount(owner, p, minlength=len(texts)) for p in phrases])
-        cost = (cost + blocks) * np.log2(np.array(self.size))[:, None]
+        cost = np.zeros((len(self.languages), len(texts)))
+        # A few blocks at a time where there are many languages.
+        width = max(1, STEP_STATES // len(self.languages))
+        for a in range(0, len(grid), width):
+            part = self.phrases(grid[a : a + width])
+            cost += np.stack([np.bincount(owner[a : a + width], p, minlength=len(texts)) for p in part])
+        cost *= np.log2(np.array(self.size))[:, None]
         order = np.argsort(cost, axis=0, kind="stable")
         best = np.take_along_axis(cost, order[:1], 0)[0]
         next_ = np.take_along_axis(cost, order[min(1, len(cost) - 1)][None], 0)[0]
