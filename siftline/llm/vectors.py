@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import mix, need, written
+from siftline.llm.common import GOLDEN, mix, need, written
 from siftline.llm.components import components
 
 COSINE = 0.98
@@ -21,7 +21,8 @@ SLICE_ROWS = 512
 SCALE = 20
 SIDE = 3.0
 KEYS = ["k1", "k2"]
-REP = "k1 long, k2 long, first long, n long, embedding array<float>"
+ROOT = ["r1", "r2"]
+REP = "label long, dim int, k1 long, k2 long, n long, embedding array<float>"
 
 
 class Rotation:
@@ -73,9 +74,9 @@ def _cells(turned: np.ndarray, rotation: Rotation, block: int):
 
 
 def _cell_names(label: np.ndarray, dim: int, block: int, cell: np.ndarray) -> np.ndarray:
-    name = mix(label.astype(np.int64).view(np.uint64) * np.uint64(1009) + np.uint64(dim * 131 + block))
-    for j in range(GRID):
-        name = mix(name * np.uint64(0x9E3779B97F4A7C15) + cell[:, j].astype(np.int64).view(np.uint64))
+    name = mix(label.astype(np.int64).view(np.uint64))
+    for part in (np.uint64(dim), np.uint64(block), *(cell[:, j].astype(np.int64).view(np.uint64) for j in range(GRID))):
+        name = mix(name * GOLDEN + part)
     return name.view(np.int64)
 
 
@@ -121,7 +122,7 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     different = (
         keyed.where("k1 is not null").groupBy("k1", "k2", "label", "embedding")
         .agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-        .select("k1", "k2", "first", "n", "embedding", F.col("label").cast("long").alias("label"))
+        .select("k1", "k2", "first", "n", "embedding", F.xxhash64("label").alias("label"))
     )
     return keyed.select("vec_id", "k1", "k2"), different
 
@@ -133,7 +134,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
     Vectors that are null, empty, all zero or hold a null, a NaN or an infinity link with
     nothing, nor do rows without label or vec_id, nor vectors of different length; their component is
     their own vec_id. Repeated rows link with each other. Different vectors of one vec_id are each
-    linked on their own. An empty table gives an empty one.
+    linked on their own, and join no components through their id. Labels are of any type. An empty table gives an empty one.
 
     Equal vectors are first counted as one. The rest is turned and cut into blocks of ``BLOCK``
     coordinates. If the squared distance of two vectors is within the bound, that of some block is
@@ -159,10 +160,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
         for batch in _pieces(batches):
             for rows, names, block, own in _emit(batch, cosine):
                 part = batch.take(pa.array(rows))
+                dim = np.diff(part.column("embedding").offsets.to_numpy()).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array(np.full(len(rows), block, np.int32)), pa.array(np.full(len(rows), own))]
-                    + [part.column(c) for c in ("k1", "k2", "first", "n", "embedding")],
-                    names=["cell", "block", "own", "k1", "k2", "first", "n", "embedding"],
+                    [pa.array(names), pa.array(np.full(len(rows), block, np.int32)), pa.array(np.full(len(rows), own)), part.column("label"), pa.array(dim)]
+                    + [part.column(c) for c in ("k1", "k2", "n", "embedding")],
+                    names=["cell", "block", "own", "label", "dim", "k1", "k2", "n", "embedding"],
                 )
 
     dealt = reps.mapInArrow(deal, f"cell long, block int, own boolean, {REP}").join(hot, "cell", "left")
@@ -171,17 +173,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
     tiled = dealt.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     tiled = tiled.select(
         "cell", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"),
-        "tile", "block", "own", "k1", "k2", "first", "n", "embedding",
+        "tile", "block", "own", "label", "dim", "k1", "k2", "n", "embedding",
     )
 
     def search(table: pa.Table) -> pa.Table:
-        order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("k2", "k1", "first")))
+        order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("k2", "k1")))
         table = table.take(pa.array(order)).combine_chunks()
         own, tile = table.column("own").to_numpy(), table.column("tile").to_numpy()
         x = _matrix(table.column("embedding").combine_chunks())
         rotation, block = Rotation(x.shape[1], cosine), table.column("block")[0].as_py()
         turned = rotation(x)
-        first, n = table.column("first").to_numpy(), table.column("n").to_numpy()
+        n = table.column("n").to_numpy()
         links, parent = np.zeros(len(x), np.int64), np.arange(len(x))
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
         for i, j in _candidates(turned, rotation, block, own, None if same else tile):
@@ -192,20 +194,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
             np.add.at(links, j, n[i])
             _union(parent, i, j)
         hit = np.flatnonzero(links)
-        root = _find(parent, hit)
+        root = pa.array(_find(parent, hit))
         return pa.table({
             "k1": table.column("k1").take(pa.array(hit)), "k2": table.column("k2").take(pa.array(hit)),
-            "more": pa.array(links[hit]), "a": pa.array(first[hit]), "b": pa.array(first[root]),
+            "more": pa.array(links[hit]), "r1": table.column("k1").take(root), "r2": table.column("k2").take(root),
         })
 
     found = written(
-        tiled.groupBy("cell", "a", "b").applyInArrow(search, "k1 long, k2 long, more long, a long, b long"), "links"
-    )
-    groups = components(found.select("a", "b"))
+        tiled.groupBy("cell", "label", "dim", "block", "a", "b")
+        .applyInArrow(search, "k1 long, k2 long, more long, r1 long, r2 long"), "links"
+    )
+    # A vector is a node by its own key, so that an id on several vectors joins nothing.
+    groups = written(
+        components(found.select(F.struct(*KEYS).alias("a"), F.struct(*(F.col(r).alias(k) for r, k in zip(ROOT, KEYS))).alias("b")))
+        .select("node.*", "component").join(reps.select(*KEYS, "first"), KEYS),
+        "groups",
+    )
+    lows = groups.groupBy("component").agg(F.min("first").alias("low"))
+    named = groups.join(lows, "component").select(*KEYS, "low")
     more = found.groupBy("k1", "k2").agg(F.sum("more").alias("more"))
     answers = (
-        reps.select("k1", "k2", "first", "n").join(more, KEYS, "left").join(groups, F.col("first") == F.col("node"), "left")
-        .select("k1", "k2", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+        reps.select("k1", "k2", "first", "n").join(more, KEYS, "left").join(named, KEYS, "left")
+        .select("k1", "k2", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id"))
         .transform(written, "answers")
     )
     return (
