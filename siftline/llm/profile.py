@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import GOLDEN, flat, held_out, mix, rolling, word_bounds, word_hashes
+from siftline.llm.common import GOLDEN, flat, held_out, mix, rolling, word_bounds, word_hashes, written
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -96,16 +96,25 @@ class Profile:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """``text, label`` of about ``rows`` labelled documents a model may learn from, by the hash of
-    their id: all of them if there are fewer, twice as many at the most. Held-out rows and null labels are out."""
-    known = labels.where(
-        F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id")
-    ).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label"))
+    their id: all of them if there are fewer, twice as many at the most. Held-out rows and null labels are out.
+
+    An id counts once, however often it stands in either table: with its smallest label, and the text of
+    the smallest hash. Only drawn texts are grouped, those of a task by themselves first.
+    """
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id"))
+        .groupBy(F.col("doc_id").alias("label_id"))
+        .agg(F.min(F.col(label).cast("int")).alias("label"))
+        .transform(written, "labels")
+    )
     n = known.count()
     share = min(1 << 30, int((1 << 30) * rows / max(1, n)))
     some = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < share).limit(2 * rows).collect()
     # At most 2 * rows ids and labels, sent to the texts instead of shuffling all texts to them.
     drawn = F.broadcast(docs.sparkSession.createDataFrame(some, "label_id long, label int"))
-    return docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("label_id")).select("text", "label")
+    rows_drawn = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("label_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return rows_drawn.groupBy("label_id", "label").agg(one.alias("one")).select(F.col("one.text").alias("text"), "label")
 
 
 def platt(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from siftline.llm.common import GOLDEN, byte_texts, mix, need, sliced
 from siftline.llm.profile import Profile, labelled, odds, platt, sigmoid
@@ -15,6 +16,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 THRESHOLD = 0.5
 TRAIN_ROWS = 3_000
+EXCERPT = 8192
 BITS = 16
 SIZE = 1 << BITS
 EPOCHS = 12
@@ -90,14 +92,20 @@ def _features(batches):
         )
 
 
+def _excerpt() -> Column:
+    spare = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
+    return F.substring(F.col("text"), (F.pmod(F.xxhash64("text"), spare) + 1).cast("int"), F.lit(EXCERPT))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model of ``labels.quality`` from about ``rows`` labelled rows. A row comes to the driver
-    as its different hashed n-grams, at most ``FAMILIES * 2**BITS`` of them, whatever its length.
+    """A model of ``labels.quality`` from about ``rows`` labelled rows, of each an excerpt of
+    ``EXCERPT`` letters at most, at a hashed place. A row comes to the driver as the different hashed
+    n-grams of that, so what the driver holds does not depend on how long texts are. Texts are judged whole.
 
     Four fifths of the rows fit the weights (AdaGrad, both classes weighing the same, ``EPOCHS`` rounds
     and ``STEPS`` steps at the least), the rest calibrate them. Without rows of both classes the score is their smoothed share.
     """
-    found = labelled(docs, labels, "quality", rows).mapInArrow(_features, "label int, idx binary, val binary").collect()
+    found = labelled(docs, labels, "quality", rows).withColumn("text", _excerpt()).mapInArrow(_features, "label int, idx binary, val binary").collect()
     found.sort(key=lambda r: (r["idx"], r["val"], r["label"]))
     y = np.array([r["label"] for r in found], np.float64)
     if len(set(y.tolist())) < 2:
