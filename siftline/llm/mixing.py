@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.common import need, written
+from siftline.sources.store import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 ENTROPY = 0.95
@@ -136,6 +137,8 @@ def quotas(
     inside = W.partitionBy("key", "block").orderBy("place").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = (
         blocks.join(part, ["key", "block"])
+        # Equal rows have one place: their sum is made before the rows of a block meet.
+        .groupBy("key", "block", "base", "rest", "place").agg(F.sum("n").alias("n"))
         .withColumn("upto", F.col("base") + F.sum("n").over(inside))
         .where("upto <= rest")
         .groupBy("key")
@@ -161,21 +164,28 @@ def mixture(docs: DataFrame, budget: int | None = None, seed: int = SEED, **targ
     dropped here, ``copies`` may be 0.
     """
     docs = need(docs, "doc_id", "source", "text")
-    marked = _marked(docs, quotas(docs, budget, seed=seed, **targets), seed)
-    return marked.select("doc_id", "source", n_tokens().alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_copies").alias("copies"))
+    quota = quotas(docs, budget, seed=seed, **targets)
+    marked = _marked(docs, quota, seed, "weight", "copies")
+    return marked.select("doc_id", "source", n_tokens().alias("n_tokens"), "weight", "copies")
 
 
-def _marked(docs: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
+def _marked(docs: DataFrame, quota: DataFrame, seed: int, weight: str, copies: str) -> DataFrame:
     """One row a source on the other side, and a comparison of hashes: no row is ranked again."""
-    quota = quota.select(*(F.col(c).alias(f"_{c}") for c in quota.columns)).transform(written, "cuts")
-    more = F.coalesce((place(seed) <= F.col("_cut")).cast("long"), F.lit(0))
-    return docs.join(quota, source_key(F.col("source")) == F.col("_key")).withColumn("_copies", F.col("_passes") + more)
+    key, passes, cut = fresh(docs, "key", "passes", "cut")
+    quota = quota.select(
+        F.col("key").alias(key), F.col("passes").alias(passes), F.col("cut").alias(cut), F.col("weight").alias(weight)
+    ).transform(written, "cuts")
+    more = F.coalesce((place(seed) <= F.col(cut)).cast("long"), F.lit(0))
+    marked = docs.join(quota, source_key(F.col("source")) == F.col(key))
+    return marked.select(*(F.col(c) for c in (*docs.columns, weight)), (F.col(passes) + more).alias(copies))
 
 
 def mixed(docs: DataFrame, budget: int | None = None, seed: int = SEED, **targets: float) -> DataFrame:
-    """``docs`` with every row as often as the mixture has it; columns as given."""
-    marked = _marked(docs, quotas(docs, budget, seed=seed, **targets), seed)
-    return (
-        marked.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
-        .select(*docs.columns)
-    )
+    """``docs`` with every row as often as the mixture has it; columns as given, whatever their names.
+
+    Nulls, empty texts and repeated rows count as in ``mixture``; an empty table gives an empty one.
+    """
+    weight, copies, copy = fresh(docs, "weight", "copies", "copy")
+    marked = _marked(docs, quotas(docs, budget, seed=seed, **targets), seed, weight, copies)
+    often = F.when(F.col(copies) > 0, F.sequence(F.lit(1), F.col(copies)))
+    return marked.withColumn(copy, F.explode(often)).select(*docs.columns)

@@ -10,6 +10,7 @@ from xxhash import xxh64_digest
 
 from siftline.llm.common import byte_texts, cut, need, sliced, written
 from siftline.llm.components import components
+from siftline.sources.store import fresh
 
 SEED = 42
 WORDS = 3
@@ -254,6 +255,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     stays, once (repeated rows of it too are copies; of different texts of that id in one component the
     one of the smallest hash stays); rows without doc_id stay. A doc_id of several components stays
     once in each where it is the smallest. Columns as given."""
+    kept_id, kept_hash, own_hash = fresh(docs, "kept_id", "kept_hash", "hash")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     rows = hashed.mapInArrow(_fingerprints, "doc_id long, hash long, print long")
     known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))
@@ -265,8 +267,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .groupBy(F.coalesce("component", "print").alias("component"))
         .agg(F.min("first").alias("first"))
         .where("first is not null")
-        .select(F.col("first.doc_id").alias("_kept_id"), F.col("first.hash").alias("_kept_hash"))
+        .select(F.col("first.doc_id").alias(kept_id), F.col("first.hash").alias(kept_hash))
     )
-    own = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
-    one = own.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(docs.where("doc_id is null"))
+    own = docs.where("doc_id is not null").withColumn(own_hash, F.xxhash64("text"))
+    one = own.join(kept, (F.col("doc_id") == F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi")
+    return one.dropDuplicates(["doc_id", own_hash]).drop(own_hash).unionByName(docs.where("doc_id is null"))
