@@ -51,8 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
 STEP = np.uint64(0xD6E8FEB86659FD93)
+NEAR = 64
+
+
+def placed(place: np.ndarray) -> np.ndarray:
+    """A 64-bit code of a byte at a place, numbered ``256 * place + byte``."""
+    return mix((place.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+
+
+PLACED = placed(np.arange(256 * NEAR))
 
 
 def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +80,19 @@ def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word."""
+    """A 64-bit hash of every word: the sum of its bytes' codes, each of which depends on the byte and its place."""
     if not len(first):
         return np.zeros(0, np.uint64)
     size = end - first
-    powers = np.empty(int(size.max()), np.uint64)
-    powers[0] = 1
-    powers[1:] = STEP
-    powers = np.multiply.accumulate(powers)
     stop = np.cumsum(size)
     within = np.arange(stop[-1]) - np.repeat(stop - size, size)
-    value = BYTE_CODE[data[within + np.repeat(first, size)]] * powers[within]
+    place = within * 256 + data[within + np.repeat(first, size)]
+    if size.max() <= NEAR:
+        value = PLACED[place]
+    else:
+        far = np.flatnonzero(within >= NEAR)
+        value = PLACED[np.minimum(place, len(PLACED) - 1)]
+        value[far] = placed(place[far])
     return mix(np.add.reduceat(value, stop - size) + size.astype(np.uint64) * GOLDEN)
 
 

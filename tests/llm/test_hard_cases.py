@@ -4,7 +4,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftline.llm import language, mixing, profile, quality_rules, simhash, vectors
+from siftline.llm import common, language, mixing, profile, quality_rules, simhash, vectors
 from siftline.llm.common import held_out
 
 
@@ -84,3 +84,18 @@ def test_clashing_columns_keep_their_values(spark):
         assert table.columns == docs.columns
         got = table.collect()
         assert got and all(tuple(r) == rows[r.doc_id] for r in got)
+
+
+def test_hashes_of_crafted_words():
+    """Words of two letters in an order that cancels out in polynomials, and words that differ in one far place."""
+    word = b"a"
+    while len(word) < 1024:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    words = [word, word.translate(bytes.maketrans(b"ab", b"ba")), word[:-1] + b"c", word[::-1], b"a", b"b", b"ab", b"ba", b"a" * 64, b"a" * 65, b"\x00", b"\x00\x00"]
+    data, starts = common.flat([b" ".join([*words, *words])])
+    first, end = common.word_bounds(data, starts)
+    got = common.word_hashes(data, first, end)
+    assert len(set(got.tolist())) == len(words) and (got[: len(words)] == got[len(words) :]).all()
+    for i, w in enumerate(words):
+        data, starts = common.flat([w])
+        assert common.word_hashes(data, *common.word_bounds(data, starts)).tolist() == [got[i]]
