@@ -37,7 +37,7 @@ from siftline.functions.responses import parse_scores, strip_fence
 from siftline.operators.enrich import union_results
 from siftline.operators.ordering import BATCH_ID, ORDINAL, POSITION, assign_batches
 from siftline.operators.rules import score_leads
-from siftline.sources.store import new_path
+from siftline.sources.store import materialize, new_path
 
 # Asks a model: prompt in, response text out. Any exception makes its batch a failed one.
 Scorer = Callable[[str], str]
@@ -55,6 +55,10 @@ WAVE = 2_000
 REQUEST_COLUMNS = (BATCH_ID, "n_leads", "payload", "prompt")
 WAVE_NO = "wave"
 LANE = "lane"
+# What stands before and after the payload in a prompt, and what tells payloads apart.
+BEFORE = "_before"
+AFTER = "_after"
+PRINT = "_print"
 
 OK = "ok"
 FALLBACK = "fallback"
@@ -146,11 +150,49 @@ def store_requests(
     requests: DataFrame, path: str, wave: int = WAVE, lanes: int = CONCURRENCY
 ) -> DataFrame:
     """``requests`` (or batches, see ``place_in_waves``) written in one folder a wave of ``wave``
-    consecutive batches, so that asking a wave reads its own files and no others."""
-    placed = requests if WAVE_NO in requests.columns else place_in_waves(requests, wave, lanes)
-    table = placed.select(*REQUEST_COLUMNS, WAVE_NO)
-    table.write.mode("overwrite").partitionBy(WAVE_NO).parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+    consecutive batches, so that asking a wave reads its own files and no others. The leads in them are
+    moved and written once: a prompt is kept without its payload."""
+    cut = cut_prompts(requests)
+    placed = cut if WAVE_NO in requests.columns else place_in_waves(cut, wave, lanes)
+    columns = [BEFORE if c == "prompt" else c for c in REQUEST_COLUMNS]
+    stored = materialize(placed.select(*columns, AFTER, WAVE_NO), path, by=(WAVE_NO,), mode="overwrite")
+    return whole_prompts(stored).select(*REQUEST_COLUMNS, WAVE_NO)
+
+
+def cut_prompts(requests: DataFrame) -> DataFrame:
+    """``requests`` with what stands before and after the payload in place of the prompt. A prompt that is
+    not these parts put together, letter by letter, stays whole: it has nothing after."""
+    prompt, payload = F.col("prompt"), F.col("payload")
+    at = F.instr(prompt, payload)
+    before, after = F.substr(prompt, F.lit(1), at - 1), F.substr(prompt, at + F.length(payload))
+    same = F.concat(before, payload, after) == prompt
+    return requests.withColumns(
+        {BEFORE: F.when(same, before).otherwise(prompt), AFTER: F.when(same, after)}
+    ).drop("prompt")
+
+
+def whole_prompts(requests: DataFrame) -> DataFrame:
+    """The reverse of ``cut_prompts``."""
+    joined = F.concat(BEFORE, "payload", AFTER)
+    return requests.withColumn("prompt", F.when(F.col(AFTER).isNull(), F.col(BEFORE)).otherwise(joined)).drop(
+        BEFORE, AFTER
+    )
+
+
+def spread(requests: DataFrame, concurrency: int) -> DataFrame:
+    """``requests`` dealt to ``concurrency`` tasks; the leads in them move once."""
+    return whole_prompts(cut_prompts(requests).repartition(concurrency, BATCH_ID))
+
+
+def with_print(table: DataFrame) -> DataFrame:
+    """``table`` with the SHA-256 of its payloads, which stands for them where tables are compared."""
+    return table.withColumn(PRINT, F.sha2("payload", 256))
+
+
+def unanswered(requests: DataFrame, prints: DataFrame) -> DataFrame:
+    """The requests of a wave that have no answer in ``prints``. These are as many as the wave has
+    batches at most, so they go to the requests, which stay where they are."""
+    return with_print(requests).join(F.broadcast(prints), [BATCH_ID, PRINT], "left_anti").drop(PRINT)
 
 
 def place_in_waves(table: DataFrame, wave: int = WAVE, lanes: int = CONCURRENCY) -> DataFrame:
@@ -190,13 +232,13 @@ def call_scorer(
     for number in waves:
         part = requests.where(F.col(WAVE_NO) == number)
         if number in answered:
-            there = done.where(F.col(WAVE_NO) == number).select(BATCH_ID, "payload")
-            if not there.join(part, [BATCH_ID, "payload"], "left_anti").isEmpty():
+            there = with_print(done.where(F.col(WAVE_NO) == number)).select(BATCH_ID, PRINT).distinct()
+            if not there.join(with_print(part).select(BATCH_ID, PRINT), [BATCH_ID, PRINT], "left_anti").isEmpty():
                 raise OtherLeads(f"{path} has answers of other requests")
-            part = part.join(there, [BATCH_ID, "payload"], "left_anti")
+            part = unanswered(part, there)
             if part.isEmpty():
                 continue
-        asked = parse_responses(ask_model(part.repartition(concurrency, BATCH_ID), make_scorer))
+        asked = parse_responses(ask_model(spread(part, concurrency), make_scorer))
         asked.write.mode("append").partitionBy(WAVE_NO).parquet(path)
     if not waves:
         parse_responses(ask_model(requests, make_scorer)).write.mode("append").parquet(path)
@@ -279,8 +321,10 @@ def numbered_requests(
     path: str | None = None,
     concurrency: int = CONCURRENCY,
     mark: tuple[int, str] | None = None,
+    written: bool = False,
 ) -> DataFrame:
-    """The requests of ``leads``, stored by wave.
+    """The requests of ``leads``, stored by wave. ``written`` says that ``leads`` are rows of stored files
+    as they stand, so that ties need no copy of them (see ``number_rows``).
 
     With a ``path`` they are kept there and a manifest with them: which lead is in which batch at
     which place, how many leads there are and what they say. A run that finds a manifest takes these
@@ -298,12 +342,15 @@ def numbered_requests(
         if kept is not None:
             if tuple(kept.first()) != manifest:
                 raise OtherLeads(f"{path} belongs to other leads, another rubric or batch size")
-            requests = _stored(spark, f"{path}/requests", _requests_schema())
-            return requests if requests is not None else spark.createDataFrame([], _requests_schema())
+            requests = _stored(spark, f"{path}/requests", _stored_schema())
+            requests = requests if requests is not None else spark.createDataFrame([], _stored_schema())
+            # Folders of runs before prompts were cut have them whole.
+            old = requests.withColumn(BEFORE, F.coalesce(BEFORE, "prompt")).drop("prompt")
+            return whole_prompts(old).select(*REQUEST_COLUMNS, WAVE_NO)
     # Only what the model sees is numbered and shuffled, not the whole lead table.
     order = [ORDINAL] if ORDINAL in leads.columns else order_by or []
     narrow = prune_for_model(leads, *[c for c in order if c not in (ID, NEED)])
-    batches = place_in_waves(assign_batches(narrow, order_by, batch_size, unique), lanes=concurrency)
+    batches = place_in_waves(assign_batches(narrow, order_by, batch_size, unique, written), lanes=concurrency)
     folder = f"{path}/requests" if path else new_path(spark, "requests")
     requests = store_requests(build_requests(batches, rubric, (WAVE_NO, LANE)), folder)
     if path:
@@ -312,8 +359,10 @@ def numbered_requests(
     return requests
 
 
-def _requests_schema() -> StructType:
-    return StructType.fromDDL(f"{BATCH_ID} bigint, n_leads bigint, payload string, prompt string, {WAVE_NO} bigint")
+def _stored_schema() -> StructType:
+    return StructType.fromDDL(
+        f"{BATCH_ID} bigint, n_leads bigint, payload string, prompt string, {BEFORE} string, {AFTER} string, {WAVE_NO} bigint"
+    )
 
 
 def score_with_model(

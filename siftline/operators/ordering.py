@@ -124,12 +124,16 @@ def number_rows(
 
 
 def number(
-    table: DataFrame, order_by: list[str] | None, name: str = ORDINAL, unique: bool = False
+    table: DataFrame,
+    order_by: list[str] | None,
+    name: str = ORDINAL,
+    unique: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Number rows 1..n by the named columns, or in stored order when none are named."""
     if not order_by:
         return number_by_file(table, name)
-    return number_rows(table, [F.col(c).asc_nulls_last() for c in order_by], name, unique)
+    return number_rows(table, [F.col(c).asc_nulls_last() for c in order_by], name, unique, written)
 
 
 def ensure_id(
@@ -146,6 +150,7 @@ def assign_batches(
     order_by: list[str] | None = None,
     size: int = BATCH_SIZE,
     unique: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Consecutive batches of ``size`` rows: ``batch_id`` from 0, ``pos`` in the batch from 0.
 
@@ -156,7 +161,7 @@ def assign_batches(
         none = F.raise_error(F.lit(f"a lead has no {ORDINAL}"))
         leads = leads.withColumn(ORDINAL, F.coalesce(F.col(ORDINAL).cast("bigint"), none.cast("bigint")))
     else:
-        leads = number(leads, order_by, unique=unique)
+        leads = number(leads, order_by, unique=unique, written=written)
     return leads.withColumns(
         {
             BATCH_ID: F.expr(f"({ORDINAL} - 1) div {size}"),

@@ -267,7 +267,7 @@ def _model_result(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _resumed(spark: SparkSession, sf: str) -> DataFrame:
     """A run over leads whose order has many ties, taken up where every other batch has its answer."""
     leads, path = _numbered(spark, sf), new_path(spark, "resumed")
-    requests = numbered_requests(leads, [PHONE], path=path)
+    requests = numbered_requests(leads, [PHONE], path=path, written=True)
     call_scorer(requests.where(F.col("batch_id") % 2 == 0), length_scorer(), f"{path}/answers")
     return score_with_model(leads, length_scorer(), [PHONE], RULES, path=path)[0]
 

@@ -72,13 +72,19 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(path)
 
 
-def materialize(table: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
-    """Write ``table`` as parquet and return the written table.
+def materialize(
+    table: DataFrame,
+    path: str | None = None,
+    name: str = "table",
+    by: tuple[str, ...] = (),
+    mode: str = "errorifexists",
+) -> DataFrame:
+    """Write ``table`` as parquet, in a folder for each value of ``by``, and return the written table.
 
     Later jobs read it and never compute it again. Unlike cached blocks it outlives its
     executors.
     """
     spark = table.sparkSession
     path = path or new_path(spark, name)
-    table.write.mode("errorifexists").parquet(path)
+    table.write.mode(mode).partitionBy(*by).parquet(path)
     return spark.read.schema(table.schema).parquet(path)
