@@ -54,6 +54,8 @@ from siftline.operators.metrics import (
     score_histogram,
 )
 from siftline.operators.model import (
+    LANE,
+    WAVE_NO,
     assign_batches,
     batch_fallback,
     batch_report,
@@ -62,8 +64,10 @@ from siftline.operators.model import (
     numbered_requests,
     flatten_scores,
     parse_responses,
+    place_in_waves,
     prune_for_model,
     score_with_model,
+    store_requests,
     to_json_payload,
 )
 from siftline.operators.ordering import ensure_id, number_by_file
@@ -254,8 +258,15 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
     return build_requests(assign_batches(narrow, ["doc_id"], unique=True))
 
 
+def _stored_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``_requests``, grouped and written where ``call_scorer`` reads them: once."""
+    narrow = prune_for_model(_numbered(spark, sf), "doc_id")
+    batches = place_in_waves(assign_batches(narrow, ["doc_id"], unique=True))
+    return store_requests(build_requests(batches, by=(WAVE_NO, LANE)), new_path(spark, "requests"))
+
+
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
-    return call_scorer(materialize(_requests(spark, sf)), stub_scorer())
+    return call_scorer(_stored_requests(spark, sf), stub_scorer())
 
 
 def _model_result(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

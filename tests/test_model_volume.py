@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -25,6 +26,7 @@ from siftline.operators.model import (
     whole_prompts,
     with_print,
 )
+from siftline.plans import catalog
 from siftline.sources.store import scratch
 
 # Workers cannot import this file; the stubs travel with the job.
@@ -138,3 +140,31 @@ def test_ties_of_stored_rows_are_numbered_without_a_copy(spark, leads):
             placed = assign_batches(leads, ["sdt"], written=written)
             assert sorted((r.batch_id, r.pos) for r in placed.collect()) == [(k // 20, k % 20) for k in range(400)]
             assert sum(x.startswith("siftline-ties") for x in os.listdir(path)) == copies
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    """200 documents of 5 kB that do not compress."""
+    words = [F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(f" {k}")), 512) for k in range(40)]
+    table = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", *words))
+    table = table.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("web").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
+    table.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    return str(tmp_path / "sf")
+
+
+def written_for(spark, documents, name, look):
+    """What ``look`` makes of the query's rows, and the texts written for it, as copies of the input."""
+    with scratch(spark) as path:
+        seen = look(catalog.queries()[name](spark, documents))
+        return seen, parquet_bytes(path) / parquet_bytes(documents)
+
+
+def parquet_bytes(path):
+    return sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+
+
+def test_call_scorer_writes_numbered_rows_requests_and_answers(spark, documents):
+    rows, copies = written_for(spark, documents, "call_scorer", lambda df: sorted(tuple(r) for r in df.collect()))
+    assert [r[0] for r in rows] == list(range(10)) and [bool(r[2]) for r in rows] == [k % 4 == 0 for k in range(10)]
+    assert [r[1] is None for r in rows] == [k % 4 == 0 for k in range(10)]
+    assert copies < 3.5
