@@ -168,3 +168,9 @@ def test_call_scorer_writes_numbered_rows_requests_and_answers(spark, documents)
     assert [r[0] for r in rows] == list(range(10)) and [bool(r[2]) for r in rows] == [k % 4 == 0 for k in range(10)]
     assert [r[1] is None for r in rows] == [k % 4 == 0 for k in range(10)]
     assert copies < 3.5
+
+
+def test_batch_fallback_writes_no_more_than_the_calls(spark, documents):
+    rows, copies = written_for(spark, documents, "batch_fallback", lambda df: sorted(int(r.id) for r in df.collect()))
+    assert rows == [k for k in range(200) if k // 20 % 4 in (0, 2)]
+    assert copies < 3.5
