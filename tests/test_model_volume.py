@@ -174,3 +174,9 @@ def test_batch_fallback_writes_no_more_than_the_calls(spark, documents):
     rows, copies = written_for(spark, documents, "batch_fallback", lambda df: sorted(int(r.id) for r in df.collect()))
     assert rows == [k for k in range(200) if k // 20 % 4 in (0, 2)]
     assert copies < 3.5
+
+
+def test_batch_report_writes_no_more_than_the_calls(spark, documents):
+    rows, copies = written_for(spark, documents, "batch_report", lambda df: sorted(tuple(r)[:3] for r in df.collect()))
+    assert rows == [(k, 20, "fallback" if k % 4 in (0, 2) else "ok") for k in range(10)]
+    assert copies < 3.5
